@@ -4,8 +4,7 @@ Each text gives integer metrics. A metric's distribution within a language and
 source is a fixed-grid quantile sketch: a count for each of ``BINS`` bins. Such
 sketches merge by adding counts, have no rank error and a value error of at
 most one bin, and don't depend on the order of rows. The fence of a group is its
-third quartile plus ``REACH`` times its quartile distance (at least ``SPREAD``
-bins); a group of fewer than ``LEAST`` texts takes its language's merged sketch,
+third quartile plus ``REACH`` times its quartile distance (at least ``SPREAD``); a group of fewer than ``LEAST`` texts takes its language's merged sketch,
 or that of all texts. A text stays if it passes the base rules and every fence.
 
 Defined results: null text counts as empty (it fails the base rules); null
@@ -26,7 +25,7 @@ from tidewell.llm.text import map_arrow, texts
 from tidewell.sources.tables import settle
 
 SYMBOLS = "#*$%&|<>"
-BINS, REACH, SPREAD, LEAST = 1000, 3, 20, 200
+BINS, REACH, LEAST = 1000, 3, 200
 #: Per mille of symbols, of repeated lines and of words in repeated windows; tenths of a character per word.
 METRICS = {
     "symbols": "1000 * n_symbols div greatest(word_chars, 1)",
@@ -34,6 +33,8 @@ METRICS = {
     "repeats": "1000 * n_repeat_words div greatest(n_words, 1)",
     "length": f"least(10 * word_chars div greatest(n_words, 1), {BINS})",
 }
+#: The least quartile distance of a metric, in bins: one repeated line or a few symbols in a short text are no outlier.
+SPREAD = {"symbols": 20, "lines": 150, "repeats": 120, "length": 20}
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
@@ -94,8 +95,7 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.expr("min(CASE WHEN 4 * upto >= total THEN bin END)").alias("q1"),
         F.expr("min(CASE WHEN 4 * upto >= 3 * total THEN bin END)").alias("q3"),
     )
-    fence = F.expr(f"q3 + {REACH} * greatest(q3 - q1, {SPREAD})")
-    each = [F.max(F.when(F.col("metric") == m, fence)).alias(f"fence_{m}") for m in METRICS]
+    each = [F.max(F.expr(f"CASE WHEN metric = '{m}' THEN q3 + {REACH} * greatest(q3 - q1, {SPREAD[m]}) END")).alias(f"fence_{m}") for m in METRICS]
     return quartiles.groupBy("lang", "source").agg(F.max("total").alias("total"), *each)
 
 
@@ -141,7 +141,7 @@ sk AS (SELECT lang, source, metric, bin, count(*) AS n FROM own GROUP BY ALL
        UNION ALL SELECT NULL, NULL, metric, bin, count(*) FROM own GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM sk),
 q AS (SELECT lang, source, metric, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3 FROM cum GROUP BY ALL),
-f AS (SELECT lang, source, max(total) AS total, {", ".join(f"max(q3 + {REACH} * greatest(q3 - q1, {SPREAD})) FILTER (metric = '{k}') AS f_{k}" for k in METRICS)} FROM q GROUP BY ALL)
+f AS (SELECT lang, source, max(total) AS total, {", ".join(f"max(q3 + {REACH} * greatest(q3 - q1, {SPREAD[k]})) FILTER (metric = '{k}') AS f_{k}" for k in METRICS)} FROM q GROUP BY ALL)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce({" AND ".join(f"{v} <= CASE WHEN o.total >= {LEAST} THEN o.f_{k} WHEN l.total >= {LEAST} THEN l.f_{k} ELSE a.f_{k} END" for k, v in _SQL_BINS.items())}, false) AS kept
 FROM st s LEFT JOIN f o ON o.lang = s.lang AND o.source = s.source
