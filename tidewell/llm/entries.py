@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, exact_dedup, quality
+from tidewell.llm import chat, exact_dedup, quality, secret_scan
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,13 +24,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_chat_formatting": (op1_chat_formatting, chat.QUERY_SQL),
+    "op4_quality_rules": (op4_quality_rules, quality.QUERY_SQL),
+    "op5_secret_scans": (op5_secret_scans, secret_scan.QUERY_SQL),
+    "op8_exact_dedup": (op8_exact_dedup, exact_dedup.QUERY_SQL),
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op4_quality_rules": op4_quality_rules, "op8_exact_dedup": op8_exact_dedup}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.QUERY_SQL, "op4_quality_rules": quality.QUERY_SQL, "op8_exact_dedup": exact_dedup.QUERY_SQL}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
