@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, exact_dedup, minhash, quality, secret_scan
+from tidewell.llm import chat, exact_dedup, minhash, quality, secret_scan, suffix_repeats
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest(suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, chat.QUERY_SQL),
     "op4_quality_rules": (op4_quality_rules, quality.QUERY_SQL),
     "op5_secret_scans": (op5_secret_scans, secret_scan.QUERY_SQL),
     "op6_minhash": (op6_minhash, minhash.QUERY_SQL),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.QUERY_SQL),
+    "op10_suffix_array": (op10_suffix_array, None),
 }
 
 
