@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, exact_dedup, minhash, quality, secret_scan, suffix_repeats
+from tidewell.llm import chat, exact_dedup, minhash, packing, quality, secret_scan, suffix_repeats
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summarise(chat.expand(rows.unionByName(probe)))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, chat.QUERY_SQL),
+    "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op4_quality_rules": (op4_quality_rules, quality.QUERY_SQL),
     "op5_secret_scans": (op5_secret_scans, secret_scan.QUERY_SQL),
     "op6_minhash": (op6_minhash, minhash.QUERY_SQL),
