@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, exact_dedup, minhash, packing, quality, secret_scan, suffix_repeats
+from tidewell.llm import chat, exact_dedup, minhash, packing, quality, secret_scan, sentence_spans, suffix_repeats, toxicity
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.digest(suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -48,10 +57,12 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, chat.QUERY_SQL),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
+    "op3_sentence_spans": (op3_sentence_spans, None),
     "op4_quality_rules": (op4_quality_rules, quality.QUERY_SQL),
     "op5_secret_scans": (op5_secret_scans, secret_scan.QUERY_SQL),
     "op6_minhash": (op6_minhash, minhash.QUERY_SQL),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.QUERY_SQL),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_suffix_array": (op10_suffix_array, None),
 }
 
