@@ -10,9 +10,11 @@ standard deviations) of the threshold are confirmed by intersecting the sets.
 Of pairs at the threshold, 1 in 3.5 million shares no band.
 
 Buckets never emit all their pairs. In star rounds every member meets one pivot of
-its bucket; a bucket whose members are then connected is done. What is left
-in buckets of several components meets in bounded blocks: members outside the
-bucket's largest component against all members of other components.
+its bucket; a bucket whose members are then connected is done. Documents of the
+buckets that still hold several components form clusters (documents that share
+such a bucket). In a cluster the members outside its largest component meet all
+others in bounded blocks, where whole sets are intersected and only links leave
+the block, at most one per member and component.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; a null doc_id is a component of its own with a null id; rows that
@@ -141,19 +143,62 @@ def _star_pairs(mixed: DataFrame, seed: int) -> DataFrame:
     return met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
 
 
-def _block_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
-    """Every pair of a bucket between components that may link; compared in blocks, only likely pairs are emitted."""
-    sizes = mixed.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("largest"))
-    with_size = mixed.join(sizes, "bucket")
-    rows = F.ceil(F.col("all") / BLOCK)
-    fewer = F.ceil((F.col("all") - F.col("largest")) / BLOCK)
-    side = F.struct("doc_id", "label", "n", "planes")
-    own = with_size.join(known, "doc_id")
-    left = own.filter("label != most").select("bucket", side.alias("p"), F.pmod(F.xxhash64("doc_id"), fewer).alias("pb"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("rb"))
-    right = own.select("bucket", side.alias("q"), "most", F.pmod(F.xxhash64("doc_id"), rows).alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), fewer - 1)).alias("pb"))
-    once = (F.col("p.label") < F.col("q.label")) | (F.col("q.label") == F.col("most"))
-    met = left.join(right, ["bucket", "pb", "rb"]).filter(once & (F.col("p.label") != F.col("q.label")) & _alike("p", "q"))
-    return met.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the two sides of each block; rows come sorted by block and side."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        left, right = ([r for r in rows if r[1] == k] for k in (0, 1))
+        out = []
+        if left and right:
+            values, place = np.unique(np.concatenate([r[4] for r in left]), return_inverse=True)
+            held = np.zeros((len(left), len(values)), np.float32)
+            held[np.repeat(np.arange(len(left)), [len(r[4]) for r in left]), place] = 1
+            seen = set()
+            for r in right:
+                at = np.searchsorted(values, r[4])
+                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == r[4])]
+                common = held[:, at].sum(axis=1)
+                for k in np.flatnonzero(100 * common >= PERCENT * (np.array([len(x[4]) for x in left]) + len(r[4]) - common)):
+                    if left[k][3] != r[3] and (left[k][2], r[3]) not in seen:
+                        seen.add((left[k][2], r[3]))
+                        out.append((left[k][2], r[2]))
+        columns = list(zip(*out, strict=True)) if out else [()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        shingles = batch.column("shingles")
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "side", "doc_id", "label")), strict=True)):
+            if rows and rows[-1][0] != row[0]:
+                yield links(rows)
+                rows = []
+            rows.append((*row, shingles[k].values.to_numpy()))
+    if rows:
+        yield links(rows)
+
+
+def _cluster_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between components within each cluster of buckets."""
+    pivots = mixed.groupBy("bucket").agg(F.min("doc_id").alias("b"))
+    edges = mixed.join(pivots, "bucket").filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
+    of = connected_components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    rows = settle(mixed.select("doc_id", "label").distinct().join(of, "doc_id"), "clusters")
+    sizes = rows.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster")
+    sizes = sizes.agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("largest"))
+    tagged = rows.join(sizes.filter("all > 2"), "cluster")  # the one pair of a smaller cluster has met
+    many, fewer = F.ceil(F.col("all") / BLOCK), F.ceil((F.col("all") - F.col("largest")) / BLOCK)
+    own = F.xxhash64("doc_id")
+
+    def dealt(members: DataFrame, side: int, left: Column, right: Column) -> DataFrame:
+        block = F.explode(F.sequence(F.lit(0).cast("long"), (right if side == 0 else left) - 1))
+        here = F.pmod(own, left if side == 0 else right)
+        apart = members.select("cluster", "doc_id", "label", here.alias("here"), block.alias("there"))
+        first, second = ("here", "there") if side == 0 else ("there", "here")
+        return apart.select(F.concat_ws(":", "cluster", first, second).alias("block"), F.lit(side).alias("side"), "doc_id", "label")
+
+    blocks = dealt(tagged.filter("label != most"), 0, fewer, many).unionByName(dealt(tagged, 1, fewer, many))
+    met = blocks.join(sets, "doc_id").select("block", "side", "doc_id", "label", "shingles")
+    return map_arrow(met.repartition("block").sortWithinPartitions("block", "side", "doc_id"), _meet, "a long, b long")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -177,9 +222,9 @@ def link(docs: DataFrame) -> DataFrame:
             break
         if turn < STAR_ROUNDS:
             pairs = _star_pairs(mixed, turn).join(side_a, "a").join(side_b, "b").filter(_alike("p", "q")).select("a", "b")
+            found = settle(_confirmed(pairs, sets), "links")
         else:
-            pairs = _block_pairs(mixed, known)
-        found = settle(_confirmed(pairs, sets), "links")
+            found = settle(_cluster_links(mixed, sets), "links")
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
         members = mixed.select("bucket", "doc_id")
