@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, exact_dedup, minhash, packing, quality, secret_scan, sentence_spans, suffix_repeats, toxicity
+from tidewell.llm import chat, exact_dedup, minhash, packing, quality, secret_scan, sentence_spans, sentencepiece_codec, suffix_repeats, toxicity
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_quality_rules": (op4_quality_rules, quality.QUERY_SQL),
     "op5_secret_scans": (op5_secret_scans, secret_scan.QUERY_SQL),
     "op6_minhash": (op6_minhash, minhash.QUERY_SQL),
+    "op7_sentencepiece": (op7_sentencepiece, None),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.QUERY_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_suffix_array": (op10_suffix_array, None),

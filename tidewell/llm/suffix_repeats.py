@@ -7,8 +7,8 @@ else, in the same document or another. Three steps keep this exact and small:
    bytes, those of least hash are anchors, so equal windows hold the same anchor
    at the same place. Each anchor carries the hash of its context: the bytes that
    windows with this anchor can reach. About one byte in 75 is an anchor.
-2. Anchors are counted by hash, their contexts by hash pair. An anchor that
-   occurs once needs no more work; contexts that occur twice repeat as a whole.
+2. Anchors are counted by hash, and those that occur once need no more work. The
+   others' contexts are counted: a context that occurs twice repeats as a whole.
 3. Where one anchor has several contexts, one of each meets the others: an
    enhanced suffix array (suffixes in order, their common prefixes) is scanned
    with a stack of common-prefix intervals. An interval of at least ``LENGTH``
@@ -36,7 +36,7 @@ from tidewell.llm.rolling import mix, prefix_sums, span_hashes
 from tidewell.llm.text import map_arrow
 from tidewell.sources.tables import settle
 
-LENGTH, K, CROWD = 200, 48, 256
+LENGTH, K, CROWD = 200, 32, 4096
 REACH = LENGTH - K  # how far a window reaches on either side of its anchor
 POOL = 1 << 21  # bytes of contexts that one suffix array takes
 
@@ -223,35 +223,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(row_id, start, stop) spans of ``rows`` (row_id, text) that repeat; they may overlap."""
-    found = settle(map_arrow(rows, _anchor_rows, "row_id long, at int, anchor long, context long"), "anchors")
+    """For each row_id of ``rows`` (row_id, doc_id, text) with repeats the places of its repeated anchors.
+
+    ``hits`` is an array of structs: ``at`` of the anchor and ``spans`` (first, last)
+    within its context, or null spans where the context repeats as a whole.
+    """
+    all_anchors = map_arrow(rows.select("row_id", "text"), _anchor_rows, "row_id long, at int, anchor long, context long")
+    again = all_anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    found = settle(all_anchors.join(again, "anchor", "left_semi"), "anchors")
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at")).alias("one"))
-    per_anchor = contexts.groupBy("anchor").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_contexts")).filter("n_all > 1")
-    repeated = settle(contexts.join(per_anchor, "anchor").filter("n > 1 OR n_contexts > 1"), "contexts")
-    several = repeated.filter("n_contexts > 1")
-    wanted = several.groupBy(F.col("one.row_id").alias("row_id")).agg(F.collect_list(F.struct("anchor", "context", F.col("one.at").alias("at"))).alias("wanted"))
-    crowds = several.filter(F.col("n_contexts") > CROWD).select("anchor").distinct()
-    texts = settle(map_arrow(rows.join(wanted, "row_id").select("text", "wanted"), _cut, "anchor long, context long, lead int, bytes binary"), "cuts")
-    few = texts.join(crowds, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    per_anchor = contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
+    repeated = settle(contexts.join(per_anchor, "anchor"), "contexts")
+
+    def cuts(wanted: DataFrame) -> DataFrame:
+        by_row = wanted.groupBy(F.col("one.row_id").alias("row_id")).agg(F.collect_list(F.struct("anchor", "context", F.col("one.at").alias("at"))).alias("wanted"))
+        # doc_id stays, so that this is the exchange of texts by row_id that the caller's join uses too
+        return map_arrow(rows.join(by_row, "row_id").select("doc_id", "text", "wanted"), _cut, "anchor long, context long, lead int, bytes binary")
+
+    few = cuts(repeated.filter(F.col("n_contexts").between(2, CROWD))).repartition("anchor").sortWithinPartitions("anchor")
     parts = map_arrow(few, _scan_groups, "anchor long, context long, first int, last int")
-    windows = map_arrow(texts.join(crowds, "anchor", "left_semi"), _windows, "anchor long, context long, at int, window long")
+    windows = map_arrow(cuts(repeated.filter(F.col("n_contexts") > CROWD)), _windows, "anchor long, context long, at int, window long")
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "window")
     parts = parts.unionByName(windows.join(twice, ["anchor", "window"], "left_semi").select("anchor", "context", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("last")))
     parts = parts.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     whole = repeated.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole"))
-    told = whole.join(parts, ["anchor", "context"], "full")
-    hits = found.join(told, ["anchor", "context"])
-    base = F.greatest(F.col("at") - REACH, F.lit(0))
-    everything = F.array(F.struct(F.lit(0).alias("first"), F.lit(REACH + LENGTH).alias("last")))
-    spans = hits.select("row_id", "at", base.alias("base"), F.explode(F.when(F.col("whole"), everything).otherwise(F.col("spans"))).alias("s"))
-    return spans.select("row_id", (F.col("base") + F.col("s.first")).alias("start"), F.least(F.col("base") + F.col("s.last"), F.col("at") + LENGTH).alias("stop"))
+    told = whole.join(parts, ["anchor", "context"], "full").select("anchor", "context", F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"))
+    return found.join(told, ["anchor", "context"]).groupBy("row_id").agg(F.collect_list(F.struct("at", "spans")).alias("hits"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for data, spans in zip(_utf8(batch), batch.column("spans").to_pylist(), strict=True):
-            runs = _union([(x["start"], min(x["stop"], len(data))) for x in spans or []])
+        for data, hits in zip(_utf8(batch), batch.column("hits").to_pylist(), strict=True):
+            spans = []
+            for x in hits or []:
+                base = max(x["at"] - REACH, 0)
+                spans += [(base, min(x["at"] + LENGTH, len(data)))] if x["spans"] is None else [(base + s["first"], base + s["last"]) for s in x["spans"]]
+            runs = _union(spans)
             kept, at = [], 0
             for start, stop in runs:
                 kept.append(data[at:start])
@@ -266,8 +274,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row_id"))
-    spans = repeated_spans(rows.select("row_id", "text")).distinct().groupBy("row_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return map_arrow(rows.join(spans, "row_id", "left").select("doc_id", "text", "spans"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(rows.join(repeated_spans(rows), "row_id", "left").select("doc_id", "text", "hits"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
