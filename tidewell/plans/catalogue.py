@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,15 +24,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-@query("kv_select_range", "SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 500")
-def kv_select_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    return orders.filter((F.col("key") > 100) & (F.col("key") <= 500)).orderBy("key")
+def _load() -> None:
+    from tidewell.plans import kv_queries, log_queries, record_queries, scalar_queries, series_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
