@@ -17,6 +17,7 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,7 +25,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ from tidewell.sources.tables import settle
 
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHED = 400_000  # words that a worker remembers
+CACHED = 700_000  # words that a worker remembers
 
 
 class WordEncoder:
@@ -44,8 +44,9 @@ class WordEncoder:
     characters than ``PLAIN`` or with special tokens go to the tokenizer as they are.
     """
 
-    PLAIN = regex.compile(r"[\t\n\r -~¡-įı-ɏ‐-‧€]*")
-    PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PLAIN = re.compile(r"[\t\n\r -~¡-įı-ɏ‐-‧€]*")
+    #: The tokenizer's pattern, for plain texts: contractions, letters, single numerals, other characters.
+    PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,6 +62,14 @@ class WordEncoder:
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _parts(self, chunk: str) -> list[str]:
+        """A chunk's pre-tokens; most are a word, or a word and a full stop or comma."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.PRE_TOKEN.findall(chunk)
+
     def _learn_words(self, words: list[str]) -> None:
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
@@ -79,8 +88,11 @@ class WordEncoder:
             self.chunks.clear()
         if len(self.words) > CACHED:
             self.words.clear()
-        new = {c for chunks in split if chunks for c in chunks} - self.chunks.keys()
-        parts = {c: self.PRE_TOKEN.findall(c.lower()) for c in new}
+        new: set[str] = set()
+        for chunks in split:
+            if chunks:
+                new.update(chunks)
+        parts = {c: self._parts(c.lower()) for c in new - self.chunks.keys()}
         self._learn_words(list({w for p in parts.values() for w in p} - self.words.keys()))
         self.chunks.update((c, b"".join(map(self.words.__getitem__, p))) for c, p in parts.items())
         return [self._slow(t) if chunks is None else b"".join(map(self.chunks.__getitem__, chunks)) for t, chunks in zip(batch, split, strict=True)]
@@ -172,6 +184,7 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a long ``length`` of 1 to ``capacity``) with sequence_id and offset."""
+    pieces = settle(pieces, "pieces")  # a range sort reads its input twice
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     spread = F.xxhash64(*[c for c in ("doc_id", "piece") if c in pieces.columns])
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
