@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 # The base-58 alphabet.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -125,12 +126,12 @@ def xor_bytes(a: Column, b: Column) -> Column:
     return _xor(a, b)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _xor(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else bytes(p ^ y[i % len(y)] for i, p in enumerate(x)) if y else x for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def base58_encode(data: pd.Series) -> pd.Series:
     def one(x: bytes | None) -> str | None:
         if x is None:
@@ -144,7 +145,7 @@ def base58_encode(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def base58_decode(text: pd.Series) -> pd.Series:
     def one(x: str | None) -> bytes | None:
         if x is None:
@@ -158,21 +159,21 @@ def base58_decode(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def deflate(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.compress(x, 6))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def inflate(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.decompress(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else gzip.compress(x, 6, mtime=0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else gzip.decompress(x))

@@ -58,9 +58,10 @@ def interpolate(points: DataFrame, at: DataFrame, series: str, time: str, value:
     return got.select(series, time, F.when(F.col(time) <= F.col("s.t1"), y).alias(value))
 
 
-def timeline(items: DataFrame, series: str, order: str, duration: str) -> DataFrame:
+def timeline(items: DataFrame, series: str, order: str | list[str], duration: str) -> DataFrame:
     """Items with the time at which each begins and ends: running sums of durations."""
-    upto = F.sum(duration).over(W.partitionBy(series).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    by = [order] if isinstance(order, str) else order
+    upto = F.sum(duration).over(W.partitionBy(series).orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
     return items.withColumns({"t_to": upto}).withColumn("t_from", F.col("t_to") - F.col(duration))
 
 
