@@ -14,8 +14,9 @@ else, in the same document or another. Three steps keep this exact and small:
    with a stack of common-prefix intervals. An interval of at least ``LENGTH``
    bytes whose suffixes have different bytes on their left is a maximal repeat,
    and all its occurrences are reported. An anchor with more contexts than
-   ``CROWD`` is dealt out by the hash of each window instead, so that no task
-   gathers it.
+   ``CROWD`` is dealt out by hashes instead, first of the parts that ranges of
+   windows share, then of the windows of ranges whose part occurs twice, so that
+   no task gathers it.
 
 Defined results: null texts are empty; texts shorter than ``LENGTH`` lose
 nothing; rows that repeat a doc_id, or have none, are texts of their own and
@@ -38,7 +39,8 @@ from tidewell.sources.tables import settle
 
 LENGTH, K, CROWD = 200, 32, 4096
 REACH = LENGTH - K  # how far a window reaches on either side of its anchor
-POOL = 1 << 21  # bytes of contexts that one suffix array takes
+POOL = 1 << 21  # bytes of contexts that are compared at once
+RANGES, TOGETHER = 8, 4096
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -90,10 +92,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_array(pool: np.ndarray, starts: np.ndarray, stops: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes pool[start:stop], class by class, and each one's common prefix with the one before in its class."""
     width = int((stops - starts).max())
-    text = np.zeros((len(starts), width), np.uint8)
-    columns = np.arange(width)
-    inside = columns < (stops - starts)[:, None]
-    text[inside] = pool[(starts[:, None] + columns)[inside]]
+    inside = np.arange(width) < (stops - starts)[:, None]
+    padded = np.concatenate((pool, np.zeros(width, np.uint8)))
+    text = np.where(inside, np.lib.stride_tricks.sliding_window_view(padded, width)[starts], np.uint8(0))
     words = np.zeros((len(starts), -(-width // 8) * 8), np.uint8)
     words[:, :width] = text
     keys = words.view(">u8")
@@ -104,66 +105,87 @@ def suffix_array(pool: np.ndarray, starts: np.ndarray, stops: np.ndarray, classe
     return order, np.concatenate(([0], common))
 
 
-def maximal_repeats(order: np.ndarray, common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
-    """(length, suffixes) of every maximal repeat of at least ``least`` bytes.
+def maximal_repeats(order: np.ndarray, common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int, list[int]]]:
+    """(length, first rank, last rank, own) of every maximal repeat of at least ``least`` bytes.
 
-    ``left`` holds the byte before each suffix, or a value of its own where the
-    text begins. A stack holds the open common-prefix intervals; each knows
-    whether two different left bytes have been seen in it.
+    The repeat's occurrences are the suffixes of these ranks; ``own`` are those that
+    no longer repeat holds. ``left`` has the byte before each suffix, or a value of its
+    own where the text begins. A stack holds the open common-prefix intervals; each
+    knows whether two different left bytes have been seen in it.
     """
     found = []
-    stack: list[list] = []  # [length, first rank, left byte, diverse]
+    stack: list[list] = []  # [length, first rank, left byte, diverse, own]
     ranks = np.append(common[1:], 0)
-    for rank, (suffix, shared) in enumerate(zip(order.tolist(), ranks.tolist(), strict=True)):
-        first, byte, diverse = rank, int(left[suffix]), False
+    for rank, (byte, shared) in enumerate(zip(left[order].tolist(), ranks.tolist(), strict=True)):
+        first, diverse, own = rank, False, [rank]
         while stack and stack[-1][0] > shared:
-            length, start, seen, mixed = stack.pop()
+            length, start, seen, mixed, loose = stack.pop()
             mixed = mixed or diverse or seen != byte
             if mixed and length >= least:
-                found.append((length, order[start : rank + 1]))
-            first, byte, diverse = start, byte, mixed
+                found.append((length, start, rank, loose + own))
+            first, byte, diverse, own = start, byte, mixed, []
         if stack and stack[-1][0] == shared:
-            stack[-1][3] = stack[-1][3] or diverse or stack[-1][2] != byte
+            top = stack[-1]
+            top[3] = top[3] or diverse or top[2] != byte
+            top[4] += own
         elif shared >= least:
-            stack.append([shared, first, byte, diverse])
+            stack.append([shared, first, byte, diverse, own])
     return found
 
 
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    return times[place] > 1
+
+
 def repeats_in_contexts(contexts: list[bytes], groups: np.ndarray, leads: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each context the spans (start, stop) of strings of ``LENGTH`` bytes that its group's others hold too.
 
     ``leads`` are the anchors' places in their contexts. Only strings at the same
     distance from their anchors are compared: contexts of one text can overlap,
-    and a string is no repeat of itself.
+    and a string is no repeat of itself. Strings whose distances lie in one of
+    ``RANGES`` ranges all hold the same middle part; where no other context of
+    the group shares that part, the range has no repeat and is not looked at.
     """
     sizes = np.array([len(x) for x in contexts])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     pool = np.frombuffer(b"".join(contexts), np.uint8)
+    sums = prefix_sums(pool)
     spans: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    windows = np.maximum(sizes - LENGTH + 1, 0)
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    at = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + begins[owner]
-    if not len(at):
+    owners, distances = [], []
+    for low, high in _ranges():
+        fits = np.flatnonzero((leads >= low) & (leads + LENGTH - high <= sizes))
+        middle = span_hashes(sums, begins[fits] + leads[fits] - low, begins[fits] + leads[fits] + LENGTH - high)
+        here = fits[_shared(middle + mix(groups[fits].astype(np.uint64)))]
+        first = np.maximum(low, leads[here] + LENGTH - sizes[here])
+        count = np.minimum(high, leads[here]) - first + 1
+        owners.append(np.repeat(here, count))
+        distances.append(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count))
+    owner, distance = np.concatenate(owners), np.concatenate(distances)
+    if not len(owner):
         return spans
+    at = begins[owner] + leads[owner] - distance
     # candidates: suffixes whose first LENGTH bytes occur twice in the group, and not always after the same byte
-    place = (groups[owner] * 2 * LENGTH + leads[owner] - (at - begins[owner])).astype(np.uint64)
-    keys = span_hashes(prefix_sums(pool), at, at + LENGTH) + mix(place)
-    first = at == begins[owner]
-    left = np.where(first, 256 + owner, pool[np.maximum(at - 1, 0)].astype(np.int64))
+    keys = span_hashes(sums, at, at + LENGTH) + mix((groups[owner] * 2 * LENGTH + distance).astype(np.uint64))
+    left = np.where(at == begins[owner], 256 + owner, pool[np.maximum(at - 1, 0)].astype(np.int64))
     by = np.argsort(keys, kind="stable")
     new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
     rank = np.cumsum(new) - 1
-    classes = np.empty(len(at), np.int64)
-    classes[by] = rank
     low, high = np.minimum.reduceat(left[by], np.flatnonzero(new)), np.maximum.reduceat(left[by], np.flatnonzero(new))
-    chosen = by[(low != high)[rank]]
-    if not len(chosen):
-        return spans
-    starts, stops = at[chosen], (begins + sizes)[owner[chosen]]
-    for length, suffixes in maximal_repeats(*suffix_array(pool, starts, stops, classes[chosen]), left[chosen], LENGTH):
-        for s in suffixes.tolist():
-            c = owner[chosen[s]]
-            spans[c].append((int(starts[s] - begins[c]), int(starts[s] - begins[c]) + length))
+    mixed = (low != high)[rank]
+    chosen, classes = by[mixed], rank[mixed]
+    i = 0
+    while i < len(chosen):  # whole classes of about ``TOGETHER`` suffixes share a suffix array
+        end = len(chosen) if i + TOGETHER >= len(chosen) else np.searchsorted(classes, classes[i + TOGETHER], side="right")
+        own, cls = chosen[i:end], classes[i:end]
+        starts, stops = at[own], (begins + sizes)[owner[own]]
+        order, common = suffix_array(pool, starts, stops, cls)
+        for length, _, _, ranks in maximal_repeats(order, common, left[own], LENGTH):
+            for s in order[ranks].tolist():
+                c = owner[own[s]]
+                spans[c].append((int(starts[s] - begins[c]), int(starts[s] - begins[c]) + length))
+        i = end
     return spans
 
 
@@ -200,16 +222,38 @@ def _scan_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context as (anchor, context, at, hash of the window and its distance from the anchor)."""
+def _ranges() -> list[tuple[int, int]]:
+    """The least and largest distance from the anchor in each range."""
+    step = -(-(REACH + 1) // RANGES)
+    return [(q * step, min((q + 1) * step - 1, REACH)) for q in range(RANGES)]
+
+
+def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The middle part that all windows of a range hold: (anchor, context, part, middle)."""
     for batch in batches:
+        rows = []
         for anchor, context, lead, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "lead", "bytes")), strict=True):
-            own = np.frombuffer(data, np.uint8)
-            n = len(own) - LENGTH + 1
-            if n > 0:
-                h = span_hashes(prefix_sums(own), slice(0, n), slice(LENGTH, len(own) + 1))
-                h = mix(h + (lead - np.arange(n) + LENGTH).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, context)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64))], ["anchor", "context", "at", "window"])
+            sums = prefix_sums(np.frombuffer(data, np.uint8))
+            fits = [(q, lead - low, lead + LENGTH - high) for q, (low, high) in enumerate(_ranges()) if lead >= low and lead + LENGTH - high <= len(data)]
+            part, start, stop = (np.array(c) for c in zip(*fits, strict=True))
+            rows += [(anchor, context, q, h) for q, h in zip(part.tolist(), span_hashes(sums, start, stop).view(np.int64).tolist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], ["anchor", "context", "part", "middle"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of a context in the wanted ranges: (anchor, context, at, hash of the window and its distance from the anchor)."""
+    for batch in batches:
+        parts = []
+        for anchor, context, lead, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "lead", "bytes", "parts")), strict=True):
+            sums = prefix_sums(np.frombuffer(data, np.uint8))
+            distance = np.concatenate([np.arange(low, high + 1) for q, (low, high) in enumerate(_ranges()) if q in wanted])
+            distance = distance[(distance <= lead) & (lead - distance + LENGTH <= len(data))]
+            at = lead - distance
+            h = mix(span_hashes(sums, at, at + LENGTH) + distance.astype(np.uint64))
+            parts.append((np.full(len(at), anchor), np.full(len(at), context), at.astype(np.int32), h.view(np.int64)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["anchor", "context", "at", "window"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +282,15 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     def cuts(wanted: DataFrame) -> DataFrame:
         by_row = wanted.groupBy(F.col("one.row_id").alias("row_id")).agg(F.collect_list(F.struct("anchor", "context", F.col("one.at").alias("at"))).alias("wanted"))
         # doc_id stays, so that this is the exchange of texts by row_id that the caller's join uses too
-        return map_arrow(rows.join(by_row, "row_id").select("doc_id", "text", "wanted"), _cut, "anchor long, context long, lead int, bytes binary")
+        return map_arrow(rows.join(by_row.hint("shuffle_hash"), "row_id").select("doc_id", "text", "wanted"), _cut, "anchor long, context long, lead int, bytes binary")
 
     few = cuts(repeated.filter(F.col("n_contexts").between(2, CROWD))).repartition("anchor").sortWithinPartitions("anchor")
     parts = map_arrow(few, _scan_groups, "anchor long, context long, first int, last int")
-    windows = map_arrow(cuts(repeated.filter(F.col("n_contexts") > CROWD)), _windows, "anchor long, context long, at int, window long")
+    crowd = cuts(repeated.filter(F.col("n_contexts") > CROWD))
+    middles = map_arrow(crowd, _middles, "anchor long, context long, part int, middle long")
+    shared = middles.groupBy("anchor", "part", "middle").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    live = middles.join(shared, ["anchor", "part", "middle"], "left_semi").groupBy("anchor", "context").agg(F.collect_set("part").alias("parts"))
+    windows = map_arrow(crowd.join(live, ["anchor", "context"]), _windows, "anchor long, context long, at int, window long")
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "window")
     parts = parts.unionByName(windows.join(twice, ["anchor", "window"], "left_semi").select("anchor", "context", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("last")))
     parts = parts.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -274,7 +322,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row_id"))
-    return map_arrow(rows.join(repeated_spans(rows), "row_id", "left").select("doc_id", "text", "hits"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(rows.join(repeated_spans(rows).hint("shuffle_hash"), "row_id", "left").select("doc_id", "text", "hits"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
