@@ -49,13 +49,14 @@ def interpolate(points: DataFrame, at: DataFrame, series: str, time: str, value:
     time takes the segment that began last before it.
     """
     seg = segments(points, series, time, value)
-    s = F.struct("t0", "t1", "v0", "v1", "before", "after")
-    both = seg.select(series, F.col("t0").alias(time), s.alias("s"), F.lit(0).alias("kind")).unionByName(at.select(series, time).withColumns({"s": F.lit(None).cast(seg.select(s.alias("s")).schema["s"].dataType), "kind": F.lit(1)}))
-    last = F.last("s", ignorenulls=True).over(W.partitionBy(series).orderBy(time, "kind").rowsBetween(W.unboundedPreceding, 0))
-    got = both.withColumn("s", last).filter("kind = 1")
-    t = (F.col(time) - F.col("s.t0")) / (F.col("s.t1") - F.col("s.t0"))
-    y = linear(F.col("s.v0"), F.col("s.v1"), t) if curve == "linear" else catmull_rom(F.col("s.before"), F.col("s.v0"), F.col("s.v1"), F.col("s.after"), t)
-    return got.select(series, time, F.when(F.col(time) <= F.col("s.t1"), y).alias(value))
+    own = seg.select(series, F.col("t0").alias(time), F.struct("t0", "t1", "v0", "v1", "before", "after").alias("__seg"), F.lit(0).alias("__kind"))
+    both = own.unionByName(at.select(series, time, F.lit(None).cast(own.schema["__seg"].dataType).alias("__seg"), F.lit(1).alias("__kind")))
+    last = F.last("__seg", ignorenulls=True).over(W.partitionBy(series).orderBy(time, "__kind").rowsBetween(W.unboundedPreceding, 0))
+    got = both.withColumn("__seg", last).filter("__kind = 1")
+    t0, t1, v0, v1, before, after = (F.col(f"__seg.{c}") for c in ("t0", "t1", "v0", "v1", "before", "after"))
+    t = (F.col(time) - t0) / (t1 - t0)
+    y = linear(v0, v1, t) if curve == "linear" else catmull_rom(before, v0, v1, after, t)
+    return got.select(series, time, F.when(F.col(time) <= t1, y).alias(value))
 
 
 def timeline(items: DataFrame, series: str, order: str | list[str], duration: str) -> DataFrame:
