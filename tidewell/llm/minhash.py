@@ -38,7 +38,7 @@ from tidewell.sources.tables import settle
 
 ROWS, BANDS, BITS, MINIMA = 5, 38, 2, 192
 PERCENT, MARGIN = 80, 0.23
-STAR_ROUNDS, BLOCK = 4, 512
+STAR_ROUNDS, BLOCK = 2, 512
 _RANDOM = np.random.default_rng(6)
 _A = (_RANDOM.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) + np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -201,6 +201,15 @@ def _cluster_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(met.repartition("block").sortWithinPartitions("block", "side", "doc_id"), _meet, "a long, b long")
 
 
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after the links ``found``; only the components that these join are looked at."""
+    of_a, of_b = labels.toDF("a", "of_a"), labels.toDF("b", "of_b")
+    between = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = connected_components(between.filter("a <> b"))
+    moved = labels.join(merged.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return settle(moved.unionByName(merged.join(labels, "id", "left_anti")), "labels")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
@@ -215,9 +224,8 @@ def link(docs: DataFrame) -> DataFrame:
     sets = settle(map_arrow(narrow.join(ids, "doc_id", "left_semi"), _sets, "doc_id long, shingles array<long>"), "sets")
     side_a = known.select(F.col("doc_id").alias("a"), F.struct("n", "planes").alias("p"))
     side_b = known.select(F.col("doc_id").alias("b"), F.struct("n", "planes").alias("q"))
-    links, labels = None, None
+    mixed, labels = settle(_mixed(members, None), "mixed"), None
     for turn in range(STAR_ROUNDS + 1):
-        mixed = settle(_mixed(members, labels), "mixed")
         if mixed.isEmpty():
             break
         if turn < STAR_ROUNDS:
@@ -225,9 +233,11 @@ def link(docs: DataFrame) -> DataFrame:
             found = settle(_confirmed(pairs, sets), "links")
         else:
             found = settle(_cluster_links(mixed, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        members = mixed.select("bucket", "doc_id")
+        if found.isEmpty():
+            continue
+        labels = connected_components(found) if labels is None else _joined(labels, found)
+        if turn < STAR_ROUNDS:
+            mixed = settle(_mixed(mixed.select("bucket", "doc_id"), labels), "mixed")
     of_class = classes.select("key", F.col("doc_id").alias("class_id"))
     if labels is not None:
         of_class = of_class.join(labels, F.col("class_id") == F.col("id"), "left").select("key", F.coalesce("component", "class_id").alias("class_id"))
