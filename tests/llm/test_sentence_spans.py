@@ -44,3 +44,36 @@ def test_sentences_join_to_the_text():
         assert "".join(S.sentences(text)) == text
     assert S.sentences("One 3.5 two. Three! Four\nfive") == ["One 3.5 two. ", "Three! ", "Four\n", "five"]
     assert S.sentences("a" * 100_000 + "." * 100_000)
+
+
+def test_long_passages_go_wherever_they_lie(spark):
+    """Passages of 51 to 80 words in two comma-less sentences, the edges of other sentences, against a word-window brute force."""
+    r = random.Random(7)
+
+    def words(n):
+        return ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+    rows, planted = [], []
+    for k in range(30):
+        passage = words(r.randint(51, 80))
+        passage[r.randint(20, 30)] += "."
+        for copy in range(2):
+            rows.append((2 * k + copy, " ".join([*words(r.randint(0, 40)), *passage, *words(r.randint(0, 40))]) + "."))
+        planted.append(passage)
+    rows.append((100, " ".join(words(400))))
+    seen, repeated = {}, {}
+    for d, t in rows:
+        own = t.split()
+        for i in range(len(own) - 50):
+            if seen.setdefault(tuple(own[i : i + 51]), d) != d:
+                repeated.setdefault(d, set()).update(range(i, i + 51))
+    got = {x.doc_id: x for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(repeated) == {2 * k + 1 for k in range(30)}
+    for d, t in rows:
+        own, left = t.split(), set(got[d].text.split())
+        gone = {i for i, w in enumerate(own) if w not in left}
+        wanted = repeated.get(d, set())
+        assert gone <= wanted, d
+        assert (got[d].n_removed > 0) == bool(wanted)
+        if wanted:
+            assert min(gone) - min(wanted) < S.WINDOW and max(wanted) - max(gone) <= S.WINDOW and gone == set(range(min(gone), max(gone) + 1)), d

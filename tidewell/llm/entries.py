@@ -26,7 +26,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,36 @@
-"""Removal of sentences that lie in repeated runs of sentences.
+"""Removal of sentences that lie in repeated runs of sentences, and of repeated passages.
 
 A text is cut into sentences at line ends and after ``.``, ``!`` or ``?``; a
 sentence of more than ``LONG`` words is cut again after commas, colons and
 semicolons. Every run of ``SPAN`` consecutive sentences with at least ``WORDS``
 words is hashed (128 bits of its words), runs meet globally by hash, and all
 sentences of every run but the first go. First is the least doc_id, then the
-earliest place in the text. Runs of a hot hash combine before the shuffle into
-one row per task; the join back is an equality join, whose hot side Spark splits.
+earliest place in the text.
+
+A passage need not hold whole sentences, so the words of a text are also cut by
+content: before the last word of least hash in every ``WINDOW`` consecutive words.
+Two copies of a passage are cut alike from the first window that lies inside it to
+the last. From every cut the shortest run of at least ``PASSAGE`` words that ends
+at a cut is hashed, and to every cut the shortest one that begins at a cut. So
+wherever ``PASSAGE + 2 * WINDOW - 1`` words (51) occur again, all go but at most
+``WINDOW - 1`` at the front and ``WINDOW`` at the end.
+
+Runs whose 40-bit hash occurs once leave by a count of hashes alone, before whole
+rows meet. Runs of a hot hash combine before the shuffle into one row per task;
+the join back is an equality join, whose hot side Spark splits.
 
 Defined results: null texts are empty; runs within one text repeat too; rows
 that repeat a doc_id are texts of their own, in the table's order; a null doc_id
-comes first; an empty table gives an empty table; other columns are not read.
+comes first; an empty table gives an empty table; other columns are not read;
+``n_removed`` counts sentences that lose a word or go.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import xxhash
@@ -27,6 +41,8 @@ from tidewell.llm.text import map_arrow, texts
 from tidewell.sources.tables import settle
 
 SPAN, WORDS, LONG = 3, 8, 20
+WINDOW, PASSAGE = 10, 32
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s|$))?\s*")
 _CLAUSE = re.compile(r"[^,;:]*(?:[,;:](?!\s)[^,;:]*)*(?:[,;:]+\s+)?")
 
@@ -48,43 +64,120 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def _halves(data: str, seed: int = 0) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(data.encode("utf-8", "surrogatepass"), seed)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def runs(text: str) -> list[tuple[int, int, int]]:
     """(place, high, low): the hashes of the text's runs of ``SPAN`` sentences."""
     words = [s.split() for s in sentences(text)]
     out = []
     for i in range(len(words) - SPAN + 1):
-        run = [w for x in words[i : i + SPAN] for w in x]
-        if len(run) >= WORDS:
-            data = xxhash.xxh3_128_digest("\n".join(" ".join(x) for x in words[i : i + SPAN]).encode("utf-8", "surrogatepass"))
-            out.append((i, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:], "big", signed=True)))
+        if sum(map(len, words[i : i + SPAN])) >= WORDS:
+            out.append((i, *_halves("\n".join(" ".join(x) for x in words[i : i + SPAN]))))
     return out
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lru_cache(1 << 16)
+def _weight(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Places before which the words are cut by content, with both ends."""
+    weights = [_weight(w) for w in words]
+    out, at = [0], -1
+    for end in range(WINDOW - 1, len(words)):
+        start = end - WINDOW + 1
+        if at < start:
+            at = min(range(end, start - 1, -1), key=weights.__getitem__)
+        elif weights[end] <= weights[at]:
+            at = end
+        else:
+            continue
+        if at > out[-1]:
+            out.append(at)
+    return out if out[-1] == len(words) else [*out, len(words)]
+
+
+def passages(words: list[str]) -> list[tuple[int, int, int, int]]:
+    """(place, number of words, high, low): the hashes of the runs of ``PASSAGE`` words or little more between cuts."""
+    at = cuts(words)
+    found = set()
+    j = 0
+    for i in at:  # the shortest from each cut
+        while j < len(at) and at[j] - i < PASSAGE:
+            j += 1
+        if j == len(at):
+            break
+        found.add((i, at[j]))
+    j = len(at) - 1
+    for i in reversed(at):  # the shortest to each cut
+        while j >= 0 and i - at[j] < PASSAGE:
+            j -= 1
+        if j < 0:
+            break
+        found.add((at[j], i))
+    return [(a, b - a, *_halves("\n".join(words[a:b]), 1)) for a, b in sorted(found)]
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, r, *x) for d, r, t in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), texts(batch), strict=True) for x in runs(t)]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row_id", "place", "high", "low"])
+        rows = []
+        for d, r, t in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), texts(batch), strict=True):
+            rows += [(d, r, place, 0, high, low) for place, high, low in runs(t)]
+            if whole:
+                rows += [(d, r, *x) for x in passages(_WORD.findall(t))]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row_id", "place", "words", "high", "low"])
+
+
+def _without(text: str, places: list[dict]) -> tuple[int, int, str]:
+    """The number of sentences, of those that lose anything, and the text without the runs at ``places`` (``words`` is 0 for sentences)."""
+    own = sentences(text)
+    if not places:
+        return len(own), 0, text
+    starts = [0]
+    for s in own:
+        starts.append(starts[-1] + len(s))
+    words = [m.start() for m in _WORD.finditer(text)] if any(p["words"] for p in places) else []
+    words.append(len(text))
+    gone = [(words[p["place"]], words[p["place"] + p["words"]]) if p["words"] else (starts[p["place"]], starts[p["place"] + SPAN]) for p in places]
+    kept, end, lost = [], 0, set()
+    for a, b in sorted(gone):
+        kept.append(text[end:a])
+        lost.update(range(bisect_right(starts, max(a, end)) - 1, bisect_left(starts, b)))
+        end = max(end, b)
+    return len(own), len(lost), "".join([*kept, text[end:]])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, places in zip(texts(batch), batch.column("places").to_pylist(), strict=True):
-            own = sentences(text)
-            gone = {i for p in places or [] for i in range(p, p + SPAN)}
-            out.append((len(own), len(gone), "".join(s for i, s in enumerate(own) if i not in gone) if gone else text))
+        out = [_without(text, places or []) for text, places in zip(texts(batch), batch.column("places").to_pylist(), strict=True)]
         columns = list(zip(*out, strict=True)) if out else [()] * 3
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.string()], strict=True))], ["doc_id", "n_sentences", "n_removed", "text"])
 
 
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` by runs of whole sentences alone."""
+    return _removed(docs, False)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed and the remaining text."""
+    return _removed(docs, True)
+
+
+def _removed(docs: DataFrame, whole: bool) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row_id"))
-    found = settle(map_arrow(rows, _run_rows, "doc_id long, row_id long, place int, high long, low long"), "runs")
+    every = settle(map_arrow(rows, partial(_run_rows, whole=whole), "doc_id long, row_id long, place int, words int, high long, low long"), "runs")
+    part = F.col("low").bitwiseAND(F.lit((1 << 40) - 1)).alias("part")
+    twice = every.groupBy(part).count().filter("count > 1").select("part")
+    found = settle(every.withColumn("part", part).join(twice, "part", "left_semi").drop("part"), "repeats")
     here = F.struct("doc_id", "row_id", "place")
     first = found.groupBy("high", "low").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = found.join(first, ["high", "low"]).filter(here != F.col("first"))
-    places = again.groupBy("row_id").agg(F.collect_set("place").alias("places"))
+    places = again.groupBy("row_id").agg(F.collect_set(F.struct("place", "words")).alias("places"))
     return map_arrow(rows.join(places, "row_id", "left").select("doc_id", "text", "places"), _cleaned, "doc_id long, n_sentences long, n_removed long, text string")
