@@ -48,6 +48,10 @@ query("math_log2", "SELECT o_orderkey, CAST(length(bin(o_orderkey + 1)) - 1 AS I
 query("math_prime", "SELECT o_orderkey FROM orders o WHERE o_orderkey >= 2 AND o_orderkey < 3000 AND NOT EXISTS (SELECT 1 FROM range(2, 55) r(k) WHERE k < o.o_orderkey AND o.o_orderkey % k = 0)")(
     lambda s, d: table(s, d, "orders").filter((F.col("o_orderkey") < 3000) & S.is_prime(F.col("o_orderkey"))).select("o_orderkey")
 )
+query(
+    "math_prime_all",
+    "WITH r AS (SELECT unnest(range(2, (SELECT CAST(floor(sqrt(max(o_orderkey))) AS BIGINT) + 2 FROM orders))) AS k) SELECT o_orderkey FROM orders o WHERE o_orderkey >= 2 AND NOT EXISTS (SELECT 1 FROM r WHERE k < o.o_orderkey AND o.o_orderkey % k = 0)",
+)(lambda s, d: table(s, d, "orders").filter(S.is_prime(F.col("o_orderkey"))).select("o_orderkey"))
 query("math_fibonacci", "WITH RECURSIVE f(n, a, b) AS (SELECT 0, CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 24) SELECT n_nationkey, a AS v FROM nation JOIN f ON n = n_nationkey")(
     _of("nation", "n_nationkey", lambda: S.fibonacci(F.col("n_nationkey")).alias("v"))
 )
@@ -64,6 +68,9 @@ query("list_sum_product", "SELECT p_partkey, CAST(p_size + 3 AS BIGINT) AS total
 query("list_edit", "SELECT p_partkey, '9,' || p_size || ',2' AS v FROM part WHERE p_size <> 1")(
     lambda s, d: table(s, d, "part").filter("p_size <> 1").select("p_partkey", F.array_join(F.array_insert(F.array_remove(F.array("p_size", F.lit(1), F.lit(2)), 1), 1, F.lit(9)).cast("array<string>"), ",").alias("v"))
 )
+query("list_edit_all", "SELECT p_partkey, CASE WHEN p_size = 1 THEN '9,2' ELSE '9,' || p_size || ',2' END AS v FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.array_insert(F.array_remove(F.array("p_size", F.lit(1), F.lit(2)), 1), 1, F.lit(9)).cast("array<string>"), ",").alias("v"))
+)
 query("list_distinct", "SELECT p_partkey, CASE WHEN p_size = 5 THEN '5' ELSE p_size || ',5' END AS v FROM part")(_of("part", "p_partkey", lambda: F.array_join(F.array_distinct(F.array("p_size", F.lit(5), "p_size")).cast("array<string>"), ",").alias("v")))
 query("json_encode", "SELECT r_regionkey, '{\"id\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS v FROM region")(_of("region", "r_regionkey", lambda: F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("v")))
 query("json_get", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v FROM events WHERE json_valid(props) AND len(json_keys(props)) = 1")(
