@@ -23,3 +23,10 @@ def test_primes_of_all_keys(run):
 
 def test_list_edit_of_all_sizes(run):
     assert sorted(run("list_edit_all", part=([(1, 1), (2, 2), (3, 7)], "p_partkey long, p_size int"))) == [(1, "9,2"), (2, "9,2,2"), (3, "9,7,2")]
+
+
+def test_trigrams_of_long_tokens(run):
+    long = "".join(chr(0x4E00 + i) for i in range(5000))
+    tokens = ["a", "ab", "b" * 198, "c" * 199, "d" * 200 + "e", long]
+    got = run("log_trigrams_all", documents=([(1, " ".join(tokens))], "doc_id long, text string"))
+    assert sorted(got) == sorted({(f"${t}$"[i : i + 3], t) for t in tokens for i in range(len(t))})

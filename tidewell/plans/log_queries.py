@@ -30,6 +30,10 @@ query(
     "log_trigrams",
     POST + "SELECT DISTINCT substr('$' || token || '$', CAST(i AS INTEGER), 3) AS gram, token FROM (SELECT DISTINCT token FROM post), range(1, 200) r(i) WHERE i <= greatest(length(token), 1)",
 )(lambda s, d: search.gram_index(postings(s, d).filter(F.length("token") < 199)))
+query(
+    "log_trigrams_all",
+    POST + "SELECT DISTINCT substr('$' || token || '$', CAST(i AS INTEGER), 3) AS gram, token FROM (SELECT token, unnest(range(1, greatest(length(token), 1) + 1)) AS i FROM (SELECT DISTINCT token FROM post))",
+)(lambda s, d: search.gram_index(postings(s, d)))
 query("log_search_and", POST + "SELECT doc_id FROM post WHERE token = 'the' INTERSECT SELECT doc_id FROM post WHERE token = 'is'")(lambda s, d: search.boolean_search(postings(s, d), ("and", "the", "is")))
 query("log_search_or", POST + "SELECT DISTINCT doc_id FROM post WHERE token IN ('der', 'le')")(lambda s, d: search.boolean_search(postings(s, d), ("or", "der", "le")))
 query("log_search_xor", POST + "SELECT doc_id FROM post WHERE token IN ('the', 'is') GROUP BY doc_id HAVING count(*) = 1")(lambda s, d: search.boolean_search(postings(s, d), ("xor", "the", "is")))
