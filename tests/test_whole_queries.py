@@ -1,5 +1,7 @@
 """Queries that do the whole job, where an older query of the same operator reads part of the rows."""
 
+from datetime import datetime
+
 import pytest
 
 import __spark_entry__
@@ -30,3 +32,25 @@ def test_trigrams_of_long_tokens(run):
     tokens = ["a", "ab", "b" * 198, "c" * 199, "d" * 200 + "e", long]
     got = run("log_trigrams_all", documents=([(1, " ".join(tokens))], "doc_id long, text string"))
     assert sorted(got) == sorted({(f"${t}$"[i : i + 3], t) for t in tokens for i in range(len(t))})
+
+
+def test_interpolation_and_differences_of_all_events(run):
+    rows = [(i, 7 if i % 4 else 1, datetime(2024, 1, 1 + i), float(i * i % 11)) for i in range(28)] + [(90, 2, datetime(2024, 1, 2), 4.0)]
+    got = run("interpolate_linear_all", events=(rows, "event_id long, user_id long, ts timestamp, value double"))
+    later, curve, cubic, sums = 0.6180339887, [], [], {}
+    for user in (1, 2, 7):
+        own = [(float(e), v, ts) for e, u, ts, v in rows if u == user]
+        for k, (t, v, _) in enumerate(own):
+            last = k == len(own) - 1
+            x = None if last else later / (own[k + 1][0] - t)
+            curve.append((user, t + later, None if last else v + (own[k + 1][1] - v) * x))
+            if not last:
+                b, w, a = own[max(k - 1, 0)][1], own[k + 1][1], own[min(k + 2, len(own) - 1)][1]
+                y = (2 * x**3 - 3 * x**2 + 1) * v + (x**3 - 2 * x**2 + x) * (w - b) / 2 + (3 * x**2 - 2 * x**3) * w + (x**3 - x**2) * (a - v) / 2
+            cubic.append((user, t + later, None if last else y))
+        early, late = ([v for _, v, ts in own if (ts <= datetime(2024, 1, 15, 12)) == e] for e in (True, False))
+        sums[user] = sum(late) - sum(early) if early and late else sum(early or late)
+    for some, want in ((got, curve), (run("interpolate_catmull_rom_all"), cubic)):
+        for g, w in zip(sorted(some), sorted(want), strict=True):
+            assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None) and (w[2] is None or abs(g[2] - w[2]) < 1e-4)
+    assert dict(run("sample_difference_all")) == sums
