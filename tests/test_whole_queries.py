@@ -1,5 +1,6 @@
 """Queries that do the whole job, where an older query of the same operator reads part of the rows."""
 
+import heapq
 from datetime import datetime
 
 import pytest
@@ -54,3 +55,15 @@ def test_interpolation_and_differences_of_all_events(run):
         for g, w in zip(sorted(some), sorted(want), strict=True):
             assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None) and (w[2] is None or abs(g[2] - w[2]) < 1e-4)
     assert dict(run("sample_difference_all")) == sums
+
+
+def test_paths_to_all_nodes(run):
+    got = run("spatial_paths_all", nation=([(k,) for k in range(25)], "n_nationkey int"))
+    best, heap = {}, [(0.0, 0)]
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = cost
+            for k in (1, 2, 3) if node < 25 else ():
+                heapq.heappush(heap, (cost + k * k + node % 3, node + k))
+    assert len(best) == 28 and sorted(got) == sorted(best.items())

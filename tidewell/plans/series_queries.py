@@ -123,6 +123,12 @@ query("spatial_paths", "WITH RECURSIVE r(node, cost) AS (SELECT CAST(0 AS BIGINT
         table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).selectExpr("a", "a + k AS b", "CAST(k * k + a % 3 AS DOUBLE) AS cost").filter("b < 14"), 0
     )
 )
+# over all edges; SQL would have to list every path, so tests/test_whole_queries.py compares with Dijkstra
+query("spatial_paths_all")(
+    lambda s, d: spatial.shortest_paths(
+        table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).selectExpr("a", "a + k AS b", "CAST(k * k + a % 3 AS DOUBLE) AS cost"), 0
+    )
+)
 query("spatial_vectors", "SELECT l_orderkey, l_linenumber, round(q + 2 * x - t, 6) AS dot, round(sqrt(q*q + x*x + t*t), 6) AS length, round(x * -1 - t * 2, 6) + 0.0 AS cx, round(q / sqrt(q*q + x*x + t*t), 6) AS nx FROM (SELECT *, l_quantity AS q, l_discount * 10 AS x, l_tax * 10 AS t FROM lineitem)")(
     lambda s, d: table(s, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.round(spatial.dot(_vector(), _other()), 6).alias("dot"), F.round(spatial.length(_vector()), 6).alias("length"),
