@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 import __spark_entry__
+from tidewell.operators import rank
 
 
 @pytest.fixture
@@ -67,3 +68,8 @@ def test_paths_to_all_nodes(run):
             for k in (1, 2, 3) if node < 25 else ():
                 heapq.heappush(heap, (cost + k * k + node % 3, node + k))
     assert len(best) == 28 and sorted(got) == sorted(best.items())
+
+
+def test_no_row_at_a_position_beyond_the_last(spark):
+    rows = spark.createDataFrame([(k,) for k in range(20, 0, -1)], "key long")
+    assert [[r.key for r in rank.by_rank(rows, "key", n).collect()] for n in (1, 20, 21, 50, 200_000)] == [[1], [20], [], [], []]

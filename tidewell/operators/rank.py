@@ -33,9 +33,8 @@ def ranks_of(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def by_rank(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The row at position ``n``: the last of the first n (a top-n per task, then one merge)."""
-    first = df.orderBy(key).limit(n)
-    return first.orderBy(F.col(key).desc()).limit(1) if n <= 100_000 else with_rank(df, [key]).filter(F.col("rank") == n).drop("rank")
+    """The row at position ``n``; none if there are fewer rows."""
+    return with_rank(df, [key]).filter(F.col("rank") == n).drop("rank")
 
 
 def neighbours(df: DataFrame, key: str, value) -> DataFrame:
