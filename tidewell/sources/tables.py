@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a local session), a folder of this
-    machine is set as the session's checkpoint directory.
+    Where a local session names none (tests), a folder of this machine is set as
+    the session's checkpoint directory. On a cluster that would lose rows, so
+    there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -36,3 +41,21 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete what :func:`settle` wrote for ``settled``, which must not be read again.
+
+    Shuffle files of finished jobs go as soon as the driver has forgotten their
+    plans, so both collectors are asked to run.
+    """
+    spark = settled.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in settled.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getName().startswith("tidewell-"):
+            raise ValueError(f"{folder} was not written by settle()")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True):
+            warnings.warn(f"{folder} could not be deleted", stacklevel=2)
+    gc.collect()
+    spark._jvm.System.gc()
