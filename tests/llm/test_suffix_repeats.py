@@ -54,12 +54,30 @@ def test_same_as_brute_force(spark):
         assert told(spark, texts) == brute(texts)
 
 
-def test_crowded_anchors_are_dealt_by_window(spark, monkeypatch):
-    monkeypatch.setattr(S, "CROWD", 3)
-    texts = corpus(3)
+def test_one_passage_in_many_texts(spark):
+    """A hot anchor: a passage between words that differ everywhere, and one very long text that holds it too."""
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(90))
+    texts = [f"{r.random()} {passage}{' ' * r.randint(0, 3)}{r.random()}" for _ in range(2000)]
+    texts.append("".join(f"{r.random()} " for _ in range(10_000)) + passage)
     assert told(spark, texts) == brute(texts)
 
 
+def test_groups_hold_all_occurrences(spark):
+    texts = corpus(5, 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [("" if t is None else t).encode() for t in texts]
+    groups: dict = {}
+    rows = S.repeat_groups(docs).collect()
+    for r in rows:
+        groups.setdefault((r["repeat"], r.length), set()).add(data[r.doc_id][r.start : r.start + r.length])
+    assert groups and all(len(strings) == 1 for strings in groups.values())
+    covered = [np.zeros(len(d), bool) for d in data]
+    for r in rows:
+        covered[r.doc_id][r.start : r.start + r.length] = True
+    assert [int(c.sum()) for c in covered] == [x[1] for x in brute(texts)]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.digest(S.remove_repeats(empty)).count() == 0
@@ -68,14 +86,20 @@ def test_edges(spark):
     assert got == {(1, 370, 370), (None, 0, 0)}
 
 
-def test_suffix_array_and_intervals():
+def test_pieces_hold_every_window_once():
+    for text in corpus(6, 20):
+        data = (text or "").encode()
+        first, n, lead, _ = S.pieces(np.frombuffer(data, np.uint8))
+        assert sorted(w for a, k in zip(first.tolist(), n.tolist(), strict=True) for w in range(a, a + k)) == list(range(max(len(data) - S.LENGTH + 1, 0)))
+        assert ((lead - n + 1 >= 0) & (lead <= S.REACH)).all()
+
+
+def test_interval_tree():
     text = b"banana$banana!"
-    pool = np.frombuffer(text, np.uint8)
-    starts = np.arange(len(text))
-    order, common = S.suffix_array(pool, starts, np.full(len(text), len(text)), np.zeros(len(text), int))
-    assert [text[i:] for i in order] == sorted(text[i:] for i in starts)
-    left = np.concatenate(([300], pool[:-1]))
-    repeats = S.maximal_repeats(order, common, left, 1)
-    found = {(k, tuple(sorted(order[a : b + 1].tolist()))) for k, a, b, _ in repeats}
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    tree, found = S.IntervalTree(1), []
+    for k, i in enumerate(order):
+        found += tree.add(i, text[i - 1] if i else -1, S.common_bytes(text[order[k - 1] :], text[i:]) if k else 0)
+    found = {(n, tuple(sorted(members))) for n, members in found + tree.end()}
     assert (6, (0, 7)) in found and (3, (1, 3, 8, 10)) in found and (1, (1, 3, 5, 8, 10, 12)) in found
-    assert not any(k == 2 for k, _ in found)
+    assert not any(n == 2 for n, _ in found)
