@@ -76,3 +76,14 @@ def test_pack_rows(spark):
         for r in members:
             assert made[s].ids[r.offset : r.offset + r.length] == r.ids
     assert K.pack(K.tokenise(docs.limit(0), PATH)).count() == 0
+
+
+def test_rounds_need_no_more_sequences_than_best_fit(spark):
+    r = random.Random(8)
+    for lengths in ([min(4096, int(r.lognormvariate(6, 1.3)) + 1) for _ in range(6000)], [r.randint(1000, 1400) for _ in range(3000)], [4096] * 50, [7]):
+        pieces = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long").repartition(6)
+        rows = K.pack(pieces).collect()
+        assert sorted((x.doc_id, x.length) for x in rows) == list(enumerate(lengths))
+        best = K.plan({n: lengths.count(n) for n in set(lengths)}, 4096)
+        fewest = max(seq + -(-(hi - lo) // each) for _, lo, hi, seq, each, _ in best)
+        assert len({x.sequence_id for x in rows}) <= fewest * 1.001 + 1
