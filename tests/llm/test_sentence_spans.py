@@ -1,23 +1,38 @@
 import random
+import re
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
 from tidewell.llm import sentence_spans as S
 
 
+def cut_up(text):
+    """Sentences as lists of (word, where it begins), from the definition."""
+    out, words = [], list(re.finditer(r"[^ \t\n\v\f\r]+", text))
+    for k, w in enumerate(words):
+        if k == 0 or words[k - 1].group()[-1] in ".!?" or "\n" in text[words[k - 1].end() : w.start()]:
+            out.append([])
+        out[-1].append((w.group(), w.start()))
+    return out
+
+
 def brute(rows):
-    seen, gone = {}, [set() for _ in rows]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
-    for i in order:
-        own = [x.split() for x in S.sentences(rows[i][1] or "")]
+    seen, gone = {}, {}
+    texts = {(d, t or "") for d, t in rows}
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0))
+    for d, t in order:
+        own = cut_up(t)
         for p in range(len(own) - S.SPAN + 1):
-            run = tuple(map(tuple, own[p : p + S.SPAN]))
-            if sum(map(len, run)) >= S.WORDS and seen.setdefault(run, (i, p)) != (i, p):
-                gone[i] |= set(range(p, p + S.SPAN))
+            run = tuple(w for x in own[p : p + S.SPAN] for w, _ in x)
+            if len(run) >= S.WORDS and seen.setdefault(run, (d, t, p)) != (d, t, p):
+                gone.setdefault((d, t), set()).update(range(p, p + S.SPAN))
     out = []
-    for (d, t), g in zip(rows, gone, strict=True):
-        own = S.sentences(t or "")
-        out.append((d, len(own), len(g), "".join(s for k, s in enumerate(own) if k not in g)))
+    for d, t in rows:
+        own, g = cut_up(t or ""), gone.get((d, t or ""), set())
+        starts = [x[0][1] for x in own] + [len(t or "")]
+        out.append((d, len(own), len(g), (t or "")[: starts[0]] + "".join(t[starts[k] : starts[k + 1]] for k in range(len(own)) if k not in g)))
     return out
 
 
@@ -31,19 +46,32 @@ def test_same_as_brute_force(spark):
     texts = [prose(r, r.randint(0, 6)) + r.choice(shared) + prose(r, r.randint(0, 6)) for _ in range(40)]
     rows = [*enumerate(texts), (41, None), (42, ""), (43, "..."), (44, texts[0]), (44, texts[0]), (45, "x. " * 30), (None, texts[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("extra")).coalesce(1)
-    got = [tuple(x) for x in S.remove_repeated_spans(docs).collect()]
+    got = [tuple(x) for x in S.remove_repeats(docs, passages=False).collect()]
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
     assert any(x[2] for x in got)
-    assert S.remove_repeated_spans(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, S.remove_repeats(docs.repartition(5), passages=False).collect()), key=repr) == sorted(got, key=repr)
+    assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_sentences_join_to_the_text():
+def test_sentence_starts():
     r = random.Random(9)
-    for _ in range(300):
-        text = "".join(r.choice("ab .,!?\n;:") for _ in range(r.randint(0, 80)))
-        assert "".join(S.sentences(text)) == text
-    assert S.sentences("One 3.5 two. Three! Four\nfive") == ["One 3.5 two. ", "Three! ", "Four\n", "five"]
-    assert S.sentences("a" * 100_000 + "." * 100_000)
+    for text in [*("".join(r.choice("ab .,!?\n;:") for _ in range(r.randint(0, 80))) for _ in range(300)), "One 3.5 two. Three! Four\nfive", "a" * 100_000 + "." * 100_000]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, stop = S.words_of(data)
+        sizes = np.diff(S.sentence_starts(data, start, stop)).tolist()
+        assert sizes == [len(x) for x in cut_up(text)]
+
+
+def test_cuts_depend_on_the_words_around():
+    r = np.random.default_rng(3)
+    middle = r.integers(0, 1 << 60, 200, dtype=np.uint64)
+    placed = []
+    for n in (0, 7, 90):
+        before = r.integers(0, 1 << 60, n, dtype=np.uint64)
+        at = S.cuts(np.concatenate((before, middle, before)))
+        placed.append({int(x) - n for x in at if n + S.WINDOW <= x <= n + 200 - S.WINDOW})
+        assert np.diff(at).max() <= S.WINDOW
+    assert placed[0] == placed[1] == placed[2]
 
 
 def test_long_passages_go_wherever_they_lie(spark):
@@ -51,11 +79,11 @@ def test_long_passages_go_wherever_they_lie(spark):
     r = random.Random(7)
 
     def words(n):
-        return ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+        return ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
 
     rows, planted = [], []
     for k in range(30):
-        passage = words(r.randint(51, 80))
+        passage = words(r.randint(51, 80) if k % 3 else 200)
         passage[r.randint(20, 30)] += "."
         for copy in range(2):
             rows.append((2 * k + copy, " ".join([*words(r.randint(0, 40)), *passage, *words(r.randint(0, 40))]) + "."))
@@ -76,4 +104,6 @@ def test_long_passages_go_wherever_they_lie(spark):
         assert gone <= wanted, d
         assert (got[d].n_removed > 0) == bool(wanted)
         if wanted:
-            assert min(gone) - min(wanted) < S.WINDOW and max(wanted) - max(gone) <= S.WINDOW and gone == set(range(min(gone), max(gone) + 1)), d
+            assert len(gone) >= S.PASSAGE and gone == set(range(min(gone), max(gone) + 1)), d
+            if len(wanted) >= 2 * S.PASSAGE + 3 * S.WINDOW:
+                assert min(gone) - min(wanted) < S.WINDOW and max(wanted) - max(gone) <= S.WINDOW, d

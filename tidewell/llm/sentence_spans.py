@@ -1,183 +1,186 @@
-"""Removal of sentences that lie in repeated runs of sentences, and of repeated passages.
+r"""Removal of sentences that lie in repeated runs of sentences, and of repeated passages.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?``; a
-sentence of more than ``LONG`` words is cut again after commas, colons and
-semicolons. Every run of ``SPAN`` consecutive sentences with at least ``WORDS``
-words is hashed (128 bits of its words), runs meet globally by hash, and all
-sentences of every run but the first go. First is the least doc_id, then the
-earliest place in the text.
+Words are ``[^\x20\x09-\x0D]+``. A sentence ends with a word that ends in ``.``, ``!``
+or ``?``, or at a line end. Every run of ``SPAN`` consecutive sentences with at least
+``WORDS`` words is hashed (96 bits of its words, whatever the white space between),
+runs meet globally by hash, and all sentences of every run but the first go. First is
+the least doc_id, then the earliest place in the text.
 
 A passage need not hold whole sentences, so the words of a text are also cut by
-content: before the last word of least hash in every ``WINDOW`` consecutive words.
-Two copies of a passage are cut alike from the first window that lies inside it to
-the last. From every cut the shortest run of at least ``PASSAGE`` words that ends
-at a cut is hashed, and to every cut the shortest one that begins at a cut. So
-wherever ``PASSAGE + 2 * WINDOW - 1`` words (51) occur again, all go but at most
-``WINDOW - 1`` at the front and ``WINDOW`` at the end.
-
-Runs whose 40-bit hash occurs once leave by a count of hashes alone, before whole
-rows meet. Runs of a hot hash combine before the shuffle into one row per task;
-the join back is an equality join, whose hot side Spark splits.
-
-Defined results: null texts are empty; runs within one text repeat too; rows
-that repeat a doc_id are texts of their own, in the table's order; a null doc_id
-comes first; an empty table gives an empty table; other columns are not read;
-``n_removed`` counts sentences that lose a word or go.
+content: before each word that has the least hash of some ``WINDOW`` consecutive
+words. Two copies of a passage are cut alike from the first window that lies inside
+it to the last. From every cut the shortest run of at least ``PASSAGE`` words that
+ends at a cut is hashed, and to every cut the shortest one that begins at a cut. So
+wherever ``PASSAGE + 2 * WINDOW - 1`` words (51) occur again, a run of them goes, and
+of longer passages all but at most ``WINDOW - 1`` words at the front and ``WINDOW``
+at the end.
+
+Each batch of texts first keeps one run of each hash, the least; the others are known
+not to be first. So a hot run reaches the shuffle as one row per batch. What arrives
+is ranked within its hash by one sort, without a join.
+
+Defined results: null texts are empty; runs within one text repeat too; rows that
+repeat a doc_id are texts of their own, but rows that repeat both doc_id and text
+are one text and fare alike; a null doc_id comes first; an empty table gives an empty
+table; other columns are not read; ``n_removed`` counts sentences that lose a word.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.text import map_arrow, texts
-from tidewell.sources.tables import settle
-
-SPAN, WORDS, LONG = 3, 8, 20
-WINDOW, PASSAGE = 10, 32
-_WORD = re.compile(r"\S+")
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s|$))?\s*")
-_CLAUSE = re.compile(r"[^,;:]*(?:[,;:](?!\s)[^,;:]*)*(?:[,;:]+\s+)?")
-
-
-def sentences(text: str) -> list[str]:
-    """The sentences with the white space after each; joined they are the text."""
-    out: list[str] = []
-    at = 0
-    while at < len(text):
-        end = _SENTENCE.match(text, at).end()
-        if end == at:  # punctuation that ends no sentence
-            end += 1
-        sentence = text[at:end]
-        at = end
-        if sentence.count(" ") > LONG:
-            out += [x for x in _CLAUSE.findall(sentence) if x]
-        else:
-            out.append(sentence)
-    return out
+from tidewell.llm.rolling import prefix_sums, span_hashes
+from tidewell.llm.text import map_arrow
+from tidewell.sources.tables import discard, settle
 
+SPAN, WORDS = 3, 8
+WINDOW, PASSAGE = 20, 12
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
 
-def _halves(data: str, seed: int = 0) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_digest(data.encode("utf-8", "surrogatepass"), seed)
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes begin and end."""
+    gap = np.concatenate(([True], _SPACE[data], [True]))
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[0::2], edges[1::2]
 
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """(place, high, low): the hashes of the text's runs of ``SPAN`` sentences."""
-    words = [s.split() for s in sentences(text)]
-    out = []
-    for i in range(len(words) - SPAN + 1):
-        if sum(map(len, words[i : i + SPAN])) >= WORDS:
-            out.append((i, *_halves("\n".join(" ".join(x) for x in words[i : i + SPAN]))))
-    return out
 
+def sentence_starts(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first word of each sentence, and the number of words."""
+    if not len(start):
+        return np.zeros(1, np.int64)
+    lines = np.cumsum(np.append(0, data == ord("\n")))
+    ends = _STOP[data[stop[:-1] - 1]] | (lines[start[1:]] > lines[stop[:-1]])
+    return np.concatenate(([0], np.flatnonzero(ends) + 1, [len(start)]))
 
-@lru_cache(1 << 16)
-def _weight(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
 
+def _extreme(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """The extreme of every ``WINDOW`` neighbours."""
+    return pick.reduce(np.lib.stride_tricks.sliding_window_view(x, WINDOW), axis=1)
 
-def cuts(words: list[str]) -> list[int]:
-    """Places before which the words are cut by content, with both ends."""
-    weights = [_weight(w) for w in words]
-    out, at = [0], -1
-    for end in range(WINDOW - 1, len(words)):
-        start = end - WINDOW + 1
-        if at < start:
-            at = min(range(end, start - 1, -1), key=weights.__getitem__)
-        elif weights[end] <= weights[at]:
-            at = end
-        else:
-            continue
-        if at > out[-1]:
-            out.append(at)
-    return out if out[-1] == len(words) else [*out, len(words)]
-
-
-def passages(words: list[str]) -> list[tuple[int, int, int, int]]:
-    """(place, number of words, high, low): the hashes of the runs of ``PASSAGE`` words or little more between cuts."""
-    at = cuts(words)
-    found = set()
-    j = 0
-    for i in at:  # the shortest from each cut
-        while j < len(at) and at[j] - i < PASSAGE:
-            j += 1
-        if j == len(at):
-            break
-        found.add((i, at[j]))
-    j = len(at) - 1
-    for i in reversed(at):  # the shortest to each cut
-        while j >= 0 and i - at[j] < PASSAGE:
-            j -= 1
-        if j < 0:
-            break
-        found.add((at[j], i))
-    return [(a, b - a, *_halves("\n".join(words[a:b]), 1)) for a, b in sorted(found)]
-
-
-def _run_rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+
+def cuts(weights: np.ndarray) -> np.ndarray:
+    """The places before which words of these hashes are cut by content, with both ends."""
+    n = len(weights)
+    if n < WINDOW:
+        return np.array([0, n])
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    chosen = weights == _extreme(np.concatenate((edge, _extreme(weights, np.minimum), edge)), np.maximum)
+    return np.unique(np.concatenate(([0], np.flatnonzero(chosen), [n])))
+
+
+def runs(data: np.ndarray, start: np.ndarray, stop: np.ndarray, passages: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of the runs of a text that are hashed."""
+    sentences = sentence_starts(data, start, stop)
+    a, b = sentences[:-SPAN], sentences[SPAN:]
+    enough = b - a >= WORDS
+    if not passages:
+        return a[enough], b[enough]
+    at = cuts(span_hashes(prefix_sums(data), start, stop))
+    end = np.searchsorted(at, at + PASSAGE)
+    begin = np.searchsorted(at, at - PASSAGE, side="right") - 1
+    first = np.concatenate((a[enough], at[end < len(at)], at[begin[begin >= 0]]))
+    last = np.concatenate((b[enough], at[end[end < len(at)]], at[begin >= 0]))
+    pairs = np.unique((first << 32) + last)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each run; ``later`` where a lesser run of its hash lies in the same batch."""
+    h = xxhash.xxh3_128_digest
     for batch in batches:
-        rows = []
-        for d, r, t in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), texts(batch), strict=True):
-            rows += [(d, r, place, 0, high, low) for place, high, low in runs(t)]
-            if whole:
-                rows += [(d, r, *x) for x in passages(_WORD.findall(t))]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row_id", "place", "words", "high", "low"])
-
-
-def _without(text: str, places: list[dict]) -> tuple[int, int, str]:
-    """The number of sentences, of those that lose anything, and the text without the runs at ``places`` (``words`` is 0 for sentences)."""
-    own = sentences(text)
-    if not places:
-        return len(own), 0, text
-    starts = [0]
-    for s in own:
-        starts.append(starts[-1] + len(s))
-    words = [m.start() for m in _WORD.finditer(text)] if any(p["words"] for p in places) else []
-    words.append(len(text))
-    gone = [(words[p["place"]], words[p["place"] + p["words"]]) if p["words"] else (starts[p["place"]], starts[p["place"] + SPAN]) for p in places]
-    kept, end, lost = [], 0, set()
-    for a, b in sorted(gone):
-        kept.append(text[end:a])
-        lost.update(range(bisect_right(starts, max(a, end)) - 1, bisect_left(starts, b)))
-        end = max(end, b)
-    return len(own), len(lost), "".join([*kept, text[end:]])
+        places, sizes, lengths, digests = [], [], [], []
+        for text in _bytes(batch):
+            data = np.frombuffer(text, np.uint8)
+            start, stop = words_of(data)
+            first, last = runs(data, start, stop, passages) if len(start) else (np.zeros(0, np.int64),) * 2
+            plain = b" ".join(text.split())
+            at = np.append(0, np.cumsum(stop - start + 1))  # where each word begins in ``plain``
+            digests += [h(plain[a : z - 1]) for a, z in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+            places.append(first)
+            sizes.append(last - first)
+            lengths.append(len(first))
+        if not digests:
+            continue
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place, size = np.concatenate(places).astype(np.int32), np.concatenate(sizes).astype(np.int32)
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        high, low = halves[:, 0], halves[:, 1].astype(np.int32)
+        doc_id, check = batch.column("doc_id"), batch.column("check").to_numpy()
+        text_order = _numbered(doc_id, check)
+        order = np.lexsort((place, text_order[row], low, high))
+        same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+        least = order[np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(order))))]
+        later = np.empty(len(order), bool)
+        later[order] = (text_order[row][order] != text_order[row][least]) | (place[order] != place[least])
+        yield pa.RecordBatch.from_arrays(
+            [doc_id.take(pa.array(row)), pa.array(check[row], pa.int32()), pa.array(place), pa.array(size), pa.array(high), pa.array(low), pa.array(later)],
+            ["doc_id", "check", "place", "words", "high", "low", "later"],
+        )
+
+
+def _numbered(doc_id: pa.Array, check: np.ndarray) -> np.ndarray:
+    """Numbers of a batch's texts in the order of (doc_id, check), equal for rows that are equal in both."""
+    missing = doc_id.is_null().to_numpy(zero_copy_only=False)
+    ids = doc_id.fill_null(0).to_numpy()
+    order = np.lexsort((check, ids, ~missing))
+    new = (ids[order][1:] != ids[order][:-1]) | (missing[order][1:] != missing[order][:-1]) | (check[order][1:] != check[order][:-1])
+    out = np.empty(len(check), np.int64)
+    out[order] = np.append(0, np.cumsum(new))
+    return out
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [_without(text, places or []) for text, places in zip(texts(batch), batch.column("places").to_pylist(), strict=True)]
+        spans = batch.column("spans")
+        offsets, values = spans.offsets.to_numpy(), spans.values.to_numpy()
+        out = []
+        for k, text in enumerate(_bytes(batch)):
+            data = np.frombuffer(text, np.uint8)
+            start, stop = words_of(data)
+            sentences = sentence_starts(data, start, stop)
+            own = values[offsets[k] : offsets[k + 1]]
+            if not len(own):
+                out.append((len(sentences) - 1, 0, text.decode()))
+                continue
+            change = np.zeros(len(start) + 1, np.int64)
+            np.add.at(change, own >> 32, 1)
+            np.add.at(change, (own >> 32) + (own & 0xFFFFFFFF), -1)
+            gone = np.cumsum(change[:-1]) > 0
+            begins = np.flatnonzero(gone & ~np.append(False, gone[:-1]))
+            ends = np.flatnonzero(gone & ~np.append(gone[1:], False)) + 1
+            edges = [0, *np.stack((start[begins], np.append(start, len(text))[ends]), axis=1).ravel().tolist(), len(text)]
+            lost = np.add.reduceat(gone.astype(np.int64), sentences[:-1]) > 0
+            out.append((len(sentences) - 1, int(lost.sum()), b"".join([text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]).decode()))
         columns = list(zip(*out, strict=True)) if out else [()] * 3
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.string()], strict=True))], ["doc_id", "n_sentences", "n_removed", "text"])
 
 
-def remove_repeated_spans(docs: DataFrame) -> DataFrame:
-    """``remove_repeats`` by runs of whole sentences alone."""
-    return _removed(docs, False)
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed and the remaining text."""
-    return _removed(docs, True)
-
-
-def _removed(docs: DataFrame, whole: bool) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row_id"))
-    every = settle(map_arrow(rows, partial(_run_rows, whole=whole), "doc_id long, row_id long, place int, words int, high long, low long"), "runs")
-    part = F.col("low").bitwiseAND(F.lit((1 << 40) - 1)).alias("part")
-    twice = every.groupBy(part).count().filter("count > 1").select("part")
-    found = settle(every.withColumn("part", part).join(twice, "part", "left_semi").drop("part"), "repeats")
-    here = F.struct("doc_id", "row_id", "place")
-    first = found.groupBy("high", "low").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = found.join(first, ["high", "low"]).filter(here != F.col("first"))
-    places = again.groupBy("row_id").agg(F.collect_set(F.struct("place", "words")).alias("places"))
-    return map_arrow(rows.join(places, "row_id", "left").select("doc_id", "text", "places"), _cleaned, "doc_id long, n_sentences long, n_removed long, text string")
+def remove_repeats(docs: DataFrame, passages: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_sentences, n_removed and the remaining text; without ``passages`` by runs of whole sentences alone."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.hash("text").alias("check"))
+    every = settle(map_arrow(rows, partial(_run_rows, passages=passages), "doc_id long, check int, place int, words int, high long, low int, later boolean"), "runs")
+    order = W.partitionBy("high", "low").orderBy("doc_id", "check", "place")
+    ranked = every.filter("NOT later").withColumn("nth", F.rank().over(order)).filter("nth > 1")
+    again = every.filter("later").select("doc_id", "check", "place", "words").unionByName(ranked.select("doc_id", "check", "place", "words"))
+    span = F.shiftleft(F.col("place").cast("long"), 32) + F.col("words")
+    spans = settle(again.groupBy("doc_id", "check").agg(F.collect_set(span).alias("spans")), "spans")
+    discard(every)
+    of_text = spans.select(F.col("doc_id").alias("id"), F.col("check").alias("own"), "spans").hint("shuffle_hash")
+    joined = rows.join(of_text, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("check") == F.col("own")), "left")
+    return map_arrow(joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans")), _cleaned, "doc_id long, n_sentences long, n_removed long, text string")
