@@ -8,42 +8,50 @@ row per batch, and those rows are spread over the salts.
 
 Defined results: a null text is the empty string; an empty table gives an empty
 table; a null doc_id loses against any other; of rows that repeat both text and
-doc_id every one carries the same flags; columns other than doc_id and text are
-never read, so their names can't clash.
+doc_id every one carries the same flags, and :func:`drop_duplicates` keeps any one
+of them; columns other than doc_id and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tidewell.llm.text import map_arrow
 from tidewell.sources.tables import settle
 
 SALTS = 16
+DIGEST, NORM = "__tidewell_digest", "__tidewell_norm"
+Digest = Callable[[bytes], bytes]
 
 
-def _lowered(batch: pa.RecordBatch) -> tuple[pa.Array, list[bytes]]:
+def sha256(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()
+
+
+def _lowered(batch: pa.RecordBatch, digest: Digest) -> tuple[pa.Array, list[bytes]]:
     texts = pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.string()), ""))
-    return texts, [hashlib.sha256(x).digest() for x in texts.cast(pa.binary()).to_pylist()]
+    return texts, [digest(x) for x in texts.cast(pa.binary()).to_pylist()]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_lowered(batch)[1], pa.binary())], ["doc_id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_lowered(batch, digest)[1], pa.binary())], ["doc_id", "digest"])
 
 
-def _local_winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_winners(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lowered, digests = _lowered(batch)
+        lowered, digests = _lowered(batch, digest)
         best: dict[tuple[bytes, str], list] = {}
-        for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(), digests, lowered.to_pylist(), strict=True):
-            seen = best.setdefault((digest, text), [None, 0])
+        for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), digests, lowered.to_pylist(), strict=True):
+            seen = best.setdefault((key, text), [None, 0])
             seen[1] += 1
             if doc_id is not None and (seen[0] is None or doc_id > seen[0]):
                 seen[0] = doc_id
@@ -58,23 +66,28 @@ def _local_winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def duplicate_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def duplicate_groups(docs: DataFrame, salts: int = SALTS, digest: Digest = sha256) -> DataFrame:
     """One row per distinct text: digest, norm, keep_id, group_size."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    local = map_arrow(narrow, _local_winners, "digest binary, norm string, keep_id long, n long")
+    local = map_arrow(narrow, partial(_local_winners, digest=digest), "digest binary, norm string, keep_id long, n long")
     salted = local.groupBy("digest", "norm", (F.spark_partition_id() % salts).alias("salt")).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     return salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def mark_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def _by_digest(groups: DataFrame) -> DataFrame:
+    """One settled row per digest: keep_id and group_size of its text, and how many texts it has."""
+    return settle(groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("n_texts")), "digests")
+
+
+def mark_duplicates(docs: DataFrame, salts: int = SALTS, digest: Digest = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(docs, salts)
-    by_digest = settle(groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("n_texts")), "digests")
+    groups = duplicate_groups(docs, salts, digest)
+    by_digest = _by_digest(groups)
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = map_arrow(narrow, _digests, "doc_id long, digest binary").join(by_digest, "digest").drop("n_texts")
-    if not by_digest.filter("n_texts > 1").isEmpty():  # different texts under one digest: the text decides
-        clash = by_digest.filter("n_texts > 1").select("digest")
-        by_text = map_arrow(narrow, _with_text, "doc_id long, digest binary, norm string").join(clash, "digest", "left_semi")
+    rows = map_arrow(narrow, partial(_digests, digest=digest), "doc_id long, digest binary").join(by_digest, "digest").drop("n_texts")
+    clash = by_digest.filter("n_texts > 1").select("digest")
+    if not clash.isEmpty():  # different texts under one digest: the text decides
+        by_text = map_arrow(narrow, partial(_with_text, digest=digest), "doc_id long, digest binary, norm string").join(clash, "digest", "left_semi")
         rows = rows.join(clash, "digest", "left_anti").unionByName(by_text.join(groups, ["digest", "norm"]).drop("norm"))
     return rows.select(
         "doc_id",
@@ -85,16 +98,36 @@ def mark_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_text(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lowered, digests = _lowered(batch)
+        lowered, digests = _lowered(batch, digest)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), lowered], ["doc_id", "digest", "norm"])
 
 
-def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat a doc_id stay or go together."""
-    kept = mark_duplicates(docs, salts).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+def _tagged(batches: Iterator[pa.RecordBatch], digest: Digest, schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Whole rows with their digest and, if the schema has it, their text; of rows of a batch that repeat text and doc_id one."""
+    for batch in batches:
+        lowered, digests = _lowered(batch, digest)
+        first: dict[tuple, int] = {}
+        for k, key in enumerate(zip(batch.column("doc_id").to_pylist(), digests, lowered.to_pylist(), strict=True)):
+            first.setdefault(key, k)
+        tags = {DIGEST: pa.array(digests, pa.binary()), NORM: lowered}
+        columns = [tags.get(name, batch.column(i) if i < batch.num_columns else None) for i, name in enumerate(schema.names)]
+        yield pa.RecordBatch.from_arrays(columns, schema.names).take(pa.array(list(first.values()), pa.int64()))
+
+
+def drop_duplicates(docs: DataFrame, salts: int = SALTS, digest: Digest = sha256) -> DataFrame:
+    """One row of each text, with all its columns: a row whose doc_id is the largest of the text's."""
+    groups = duplicate_groups(docs, salts, digest)
+    by_digest = _by_digest(groups)
+    clash = not by_digest.filter("n_texts > 1").isEmpty()
+    keys = [DIGEST, NORM] if clash else [DIGEST]
+    schema = StructType([*docs.schema.fields, StructField(DIGEST, BinaryType()), *([StructField(NORM, StringType())] if clash else [])])
+    rows = map_arrow(docs, partial(_tagged, digest=digest, schema=schema), schema)
+    keep = (groups if clash else by_digest).select(F.col("digest").alias("__tidewell_d"), F.col("keep_id").alias("__tidewell_id"), *([F.col("norm").alias("__tidewell_t")] if clash else []))
+    same = (F.col(DIGEST) == F.col("__tidewell_d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__tidewell_id"))
+    winners = rows.join(keep, same & (F.col(NORM) == F.col("__tidewell_t")) if clash else same, "left_semi")
+    return winners.dropDuplicates(keys).select(*docs.columns)
 
 
 QUERY_SQL = r"""
