@@ -47,6 +47,13 @@ def test_redaction(spark):
     assert got == {1: ("a [secret] b", 12), 2: (None, None), 3: ("[secret] é", 10), 4: ("clean", 5)}
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdefgh", "own", "r", 5)], "doc_id long, text string, spans string, rules string, low int")
+    out = S.redact(docs)
+    assert out.columns == docs.columns and out.first() == (1, "[secret]", "own", "r", 5)
+    assert S.redact(docs.limit(0)).count() == 0
+
+
 def test_trigram_queries():
     assert S.trigram_query("AKIA[A-Z0-9]+") == ((frozenset({"aki", "kia"}),),)
     assert S.trigram_query("[0-9a-f]+") == ()

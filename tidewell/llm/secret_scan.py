@@ -146,19 +146,22 @@ def _found(text: Column, rule: Rule) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["spans"])
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` (doc_id, text, and others) with ``spans``: an array by start, then kind as listed."""
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "spans") -> DataFrame:
+    """``docs`` (doc_id, text, and others) with an array of spans by start, then kind as listed, in the column ``name``.
+
+    A column of that name is replaced.
+    """
     wanted = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     names = sorted({t for q in wanted.values() for c in q for alt in c for t in alt})
-    candidates = intersect(build_index(docs, names), wanted).select(F.col("doc_id").alias("__doc"), F.col("rules").alias("__rules"))
-    both = docs.join(candidates, docs["doc_id"].eqNullSafe(F.col("__doc")), "left")
+    candidates = intersect(build_index(docs, names), wanted).select(F.col("doc_id").alias("__tidewell_doc"), F.col("rules").alias("__tidewell_rules"))
+    both = docs.join(candidates, docs["doc_id"].eqNullSafe(F.col("__tidewell_doc")), "left")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int>>")
     text = F.coalesce(docs["text"], F.lit(""))
     each = []
     for rule in rules:
-        test = F.array_contains("__rules", rule.kind) if rule.kind in wanted else text.rlike(SIEVES[rule.kind]) if rule.kind in SIEVES else F.lit(True)
+        test = F.array_contains("__tidewell_rules", rule.kind) if rule.kind in wanted else text.rlike(SIEVES[rule.kind]) if rule.kind in SIEVES else F.lit(True)
         each.append(F.when(F.coalesce(test, F.lit(False)), _found(text, rule)).otherwise(none))
-    return both.select(*(docs[c] for c in docs.columns), F.array_sort(F.concat(*each)).alias("spans"))
+    return both.select(*(docs[c] for c in docs.columns if c != name), F.array_sort(F.concat(*each)).alias(name))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -177,17 +180,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; n_chars follows the text."""
-    found = find_spans(docs)
+    spans = "__tidewell_spans"
+    found = find_spans(docs, name=spans)
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         head = F.when(s["start"] >= acc["pos"], F.concat(F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["pos"], s["stop"]).alias("pos"), F.concat(acc["out"], head).alias("out"))
 
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
-    done = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    out = found.withColumn("text", done).drop("spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    text = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    done = F.when(F.size(spans) > 0, text).otherwise(F.col("text"))
+    out = found.withColumn("text", done)
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def _sql() -> str:
