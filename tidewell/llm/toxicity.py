@@ -5,8 +5,8 @@ text is of grade 2 if it has more words that mark toxic texts than the median
 toxic text. The model is P(grade > k) = sigmoid(w . x - t_k): all
 thresholds share one weight vector, and t_0 <= t_1 keeps the grades ordered.
 Features are words (letters, lower case) and word beginnings of ``PREFIXES``
-letters, by 1 + log of their count; the vocabulary is the features that tell toxic
-from clean labels best, at most ``FEATURES``, so scoring is a few dictionary
+letters, by 1 + log of their count; the vocabulary is every feature that tells toxic
+from clean labels beyond chance (``LEAST_SURPRISE``), so scoring is a few dictionary
 look-ups per distinct word. A document's score is its expected severity
 P(> 0) + P(> 1), and it is toxic where P(> 0) is at least ``CUT``.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.text import map_arrow, texts
 
-SAMPLE, FEATURES, LEAST_DOCS = 8_000, 3_000, 5
+SAMPLE, LEAST_DOCS = 8_000, 5
 PREFIXES = (4, 5, 6)
 CUT = 0.2
 LEAST_SURPRISE = 16.0  # log likelihood ratio, doubled
@@ -89,7 +89,7 @@ def vocabulary(samples: list[tuple[Counter, int]]) -> dict[str, bool]:
     names = sorted(f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= LEAST_DOCS)
     times = np.array([[s[f] for f in names] for s in seen], float).reshape(2, -1)
     surprise = _surprise(times, total)
-    best = [i for i in np.argsort(-surprise, kind="stable")[:FEATURES] if surprise[i] >= LEAST_SURPRISE]
+    best = [i for i in np.argsort(-surprise, kind="stable") if surprise[i] >= LEAST_SURPRISE]
     return {names[i]: bool(times[1, i] * total[0] > times[0, i] * total[1]) for i in best}
 
 
