@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import minhash as M
 from tidewell.llm.components import connected_components
+from tidewell.llm.rolling import word_hashes
 
 
 def shingles(text):
@@ -75,3 +77,20 @@ def test_components_of_a_path_and_a_star(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(100, k) for k in range(101, 130)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
     assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_words_built_to_collide_are_not_linked(spark):
+    """A Thue-Morse word and its complement have the same polynomial modulo 2**64, whatever the odd base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{word} end"), (2, f"{other} end"), (3, f"{word} end"), (4, "x" * 300_000 + " end"), (5, "x" * 300_001 + " end")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in M.link(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_word_hashes():
+    text = " ".join(["", "a", "ab", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "b" + "a" * 16, "a" * 600, "a" * 601, "a" * 9, "a\0", "a"])
+    data = np.frombuffer(text.encode(), np.uint8)
+    edges = [i for i, c in enumerate(text) if c == " "]
+    h = word_hashes(data, np.array([e + 1 for e in edges]), np.array([*edges[1:], len(text)]))
+    words = text.split(" ")[1:]
+    assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(len(h)))

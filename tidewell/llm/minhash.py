@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import connected_components
-from tidewell.llm.rolling import mix, prefix_sums, span_hashes
+from tidewell.llm.rolling import mix, word_hashes
 from tidewell.llm.text import map_arrow, texts
 from tidewell.sources.tables import settle
 
@@ -54,7 +54,7 @@ def shingle_set(text: str) -> np.ndarray:
     start, stop = edges[0::2], edges[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    words = span_hashes(prefix_sums(data), start, stop)
+    words = word_hashes(data, start, stop)
     if len(words) == 1:
         return mix(words)
     return np.unique(mix(words[:-1] * np.uint64(3) + words[1:]))
@@ -131,14 +131,15 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         labelled = members.withColumn("label", F.col("doc_id"))
     else:
         labelled = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("bucket")
+    # settled, so that a hot bucket's rows need not come to the task that counted them
+    apart = settle(labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("bucket"), "apart")
     return labelled.join(apart, "bucket", "left_semi")
 
 
 def _star_pairs(mixed: DataFrame, seed: int) -> DataFrame:
     """Each member with its bucket's pivot, where they lie in different components."""
     order = F.col("doc_id") if not seed else F.xxhash64("doc_id", F.lit(seed))
-    pivots = mixed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "label"), order).alias("p"))
+    pivots = settle(mixed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "label"), order).alias("p")), "pivots")
     met = mixed.join(pivots, "bucket").filter("label != p.label")
     return met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
 
@@ -150,15 +151,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = ([r for r in rows if r[1] == k] for k in (0, 1))
         out = []
         if left and right:
-            values, place = np.unique(np.concatenate([r[4] for r in left]), return_inverse=True)
-            held = np.zeros((len(left), len(values)), np.float32)
-            held[np.repeat(np.arange(len(left)), [len(r[4]) for r in left]), place] = 1
+            sizes = np.array([len(r[4]) for r in left])
+            values, owner = np.concatenate([r[4] for r in left]), np.repeat(np.arange(len(left)), sizes)
+            by = np.argsort(values, kind="stable")
+            values, owner = values[by], owner[by]
             seen = set()
             for r in right:
-                at = np.searchsorted(values, r[4])
-                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == r[4])]
-                common = held[:, at].sum(axis=1)
-                for k in np.flatnonzero(100 * common >= PERCENT * (np.array([len(x[4]) for x in left]) + len(r[4]) - common)):
+                common = np.zeros(len(left), np.int64)
+                for part in np.array_split(r[4], len(r[4]) // 4096 + 1):  # bounds what is held at once
+                    first = np.searchsorted(values, part)
+                    times = np.searchsorted(values, part, side="right") - first
+                    hits = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    common += np.bincount(owner[hits], minlength=len(left))
+                for k in np.flatnonzero(100 * common >= PERCENT * (sizes + len(r[4]) - common)):
                     if left[k][3] != r[3] and (left[k][2], r[3]) not in seen:
                         seen.add((left[k][2], r[3]))
                         out.append((left[k][2], r[2]))
@@ -179,7 +184,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cluster_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) between components within each cluster of buckets."""
-    pivots = mixed.groupBy("bucket").agg(F.min("doc_id").alias("b"))
+    pivots = settle(mixed.groupBy("bucket").agg(F.min("doc_id").alias("b")), "pivots")
     edges = mixed.join(pivots, "bucket").filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     of = connected_components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
     rows = settle(mixed.select("doc_id", "label").distinct().join(of, "doc_id"), "clusters")
@@ -217,7 +222,7 @@ def link(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "planes", "bands")).alias("c"))
     classes = settle(classes.select("key", "c.*"), "classes")
     buckets = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    shared = settle(buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"), "shared")
     members = settle(buckets.join(shared, "bucket", "left_semi").distinct(), "buckets")
     known = classes.select("doc_id", "n", "planes")
     ids = members.select("doc_id").distinct()

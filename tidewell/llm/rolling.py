@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _RANDOM = np.random.default_rng(20240229)
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses modulo 2**64
@@ -45,3 +46,28 @@ def span_hashes(sums: np.ndarray, start: np.ndarray | slice, stop: np.ndarray |
     """Hashes of data[start:stop]; equal spans have equal hashes wherever they lie."""
     _, down = _power_tables(len(sums))
     return mix((sums[stop] - sums[start]) * down[start])
+
+
+_LANES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_LONG = 512
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start:stop], eight bytes a step, each step scrambled.
+
+    Unlike a polynomial modulo 2**64, which any odd base lets collide on words built
+    for it, no two words are known to share a hash.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = stop - start
+    out = mix(left.astype(np.uint64) + _BASE)
+    open_ = np.flatnonzero(left <= _LONG)
+    at, left = start[open_], left[open_]
+    while len(open_):
+        out[open_] = mix((out[open_] ^ (lanes[at] & _LANES[np.minimum(left, 8)])) * _BASE)
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(stop - start > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]].tobytes())
+    return out
