@@ -251,12 +251,13 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     texts = docs.select("text", *_text_key())
     every = settle(map_arrow(texts.select("row", "check", "text"), _piece_rows, "row long, check int, at int, n short, lead short, anchor long, context long"), "pieces")
-    again = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    # counts are settled, so that Spark may split a hot anchor's rows in the join
+    again = settle(every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "again")
     found = settle(every.join(again, "anchor", "left_semi"), "anchored")
     discard(every)
 
     contexts = settle(found.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("row", "check", "at", "n", "lead")).alias("one")), "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    several = settle(contexts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "several")
     open_ = contexts.join(several, "anchor", "left_semi").select("one.*", "anchor", "context", (F.col("times") > 1).alias("whole"))
     wanted = open_.groupBy("row", "check").agg(F.collect_list(F.struct("anchor", "context", "at", "n", "lead", "whole")).alias("wanted"))
     cut = map_arrow(
@@ -267,6 +268,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     each = cut.select("piece", F.posexplode(F.arrays_zip("middles", "extents")).alias("place", "x")).select("piece", "place", "x.middles", "x.extents").toDF("piece", "place", "middle", "extent")
     middles = each.groupBy("middle").agg(F.count("*").alias("times"), (F.min("extent") < F.max("extent")).alias("mixed")).filter("times > 1").drop("times")
+    middles = settle(middles, "middles")
     shared = settle(each.join(middles, "middle"), "shared")
     extents = settle(shared.groupBy("middle", "extent", "mixed").agg(F.count("*").alias("times"), F.min(F.struct("piece", "place")).alias("one")), "extents")
 
