@@ -2,6 +2,7 @@
 
 ("and", [..]), ("or", [..]), ("not", c), (op, a, b) with ``> >= < <= = != + - * / div rem ^``;
 a string names a column, anything else is a literal. ``operators`` may replace any of them.
+``div`` is whole-number division towards zero, and ``rem`` what it leaves.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b,
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b,
-    "div": lambda a, b: F.floor(a / b), "rem": lambda a, b: a % b, "^": F.pow,
+    "div": lambda a, b: F.call_function("div", a, b), "rem": lambda a, b: a % b, "^": F.pow,
 }
 
 

@@ -85,29 +85,66 @@ def matrix_power(a: Column, b: Column, c: Column, d: Column, n: int) -> Column:
 
 
 def json_equal(a: Column, b: Column) -> Column:
-    """Whether two flat JSON objects hold the same members, in any order."""
-    sort = lambda x: F.array_sort(F.map_entries(F.from_json(x, "map<string,string>")))
-    return sort(a) == sort(b)
+    """Whether two JSON values are the same, members in any order at any depth; 1 and "1" differ."""
+    return F.to_json(F.parse_json(a)) == F.to_json(F.parse_json(b))
+
+
+def _members(text: Column, name: str) -> Column:
+    """A JSON object's members but ``name``, each of its own type."""
+    return F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, _: k != name)
+
+
+def json_get(text: Column, *path: str | int) -> Column:
+    """The value at a path of member names and positions, as JSON; null if there is none."""
+    at = "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
+    return F.to_json(F.try_variant_get(F.parse_json(text), f"${at}", "variant"))
 
 
 def json_without(text: Column, name: str) -> Column:
-    return F.to_json(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: k != name))
+    return F.to_json(_members(text, name))
 
 
 def json_with(text: Column, name: str, value: Column) -> Column:
-    old = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: k != name)
-    return F.to_json(F.map_concat(old, F.create_map(F.lit(name), value.cast("string"))))
+    """An object with a member set to a value, of whatever type; use ``parse_json`` for a nested one."""
+    return F.to_json(F.map_concat(_members(text, name), F.create_map(F.lit(name), value.cast("variant"))))
 
 
 def url_parts(url: Column) -> Column:
     return F.struct(*(F.parse_url(url, F.lit(p.upper())).alias(p) for p in ("protocol", "host", "path", "query")))
 
 
+def _parameters(text: Column, mark: str) -> Column:
+    """(name, value) in order; a name without a value has the empty one."""
+    pairs = F.transform(F.filter(F.split(text, mark), lambda x: x != ""), lambda x: F.split(x, "=", 2))
+    return F.transform(pairs, lambda p: F.struct(F.url_decode(p[0]).alias("name"), F.url_decode(F.coalesce(F.try_element_at(p, F.lit(2)), F.lit(""))).alias("value")))
+
+
+def _last_of_each(entries: Column) -> Column:
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(entries, empty, lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["name"]), F.create_map(e["name"], e["value"])))
+
+
 def query_map(query: Column) -> Column:
     """A query string's parameters; the last of a repeated name counts."""
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.split(x, "=", 2))
-    entry = F.transform(pairs, lambda p: F.struct(F.url_decode(p[0]), F.url_decode(F.coalesce(F.try_element_at(p, F.lit(2)), F.lit("")))))
-    return F.map_from_entries(entry)
+    return _last_of_each(_parameters(query, "&"))
+
+
+def query_values(query: Column, name: str) -> Column:
+    """All values of a parameter, in order."""
+    return F.transform(F.filter(_parameters(query, "&"), lambda e: e["name"] == name), lambda e: e["value"])
+
+
+def cookies(header: Column) -> Column:
+    """A Cookie header's values; the last of a repeated name counts."""
+    return _last_of_each(_parameters(header, r";\s*"))
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """struct(first, last) of a ``bytes=`` range in a body of ``size`` bytes, the last byte included; null if it can't be met."""
+    first, last = (F.try_to_number(F.nullif(F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", k), F.lit("")), F.lit("9" * 18)).cast("long") for k in (1, 2))
+    begin = F.when(first.isNull(), F.greatest(size - last, F.lit(0))).otherwise(first)
+    end = F.when(first.isNull() | last.isNull() | (last >= size), size - 1).otherwise(last)
+    return F.when((begin <= end) & (begin < size), F.struct(begin.alias("first"), end.alias("last")))
 
 
 def http_date(ts: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FIRST_VERSION = 2
+FEW_KEYS = 1000
 #: Columns of each kind of result.
 RESULTS = {"key": ["key"], "attr": ["key", "vsn", "time"], "value": ["key", "value"], "all": ["key", "value", "vsn", "time"]}
 
@@ -69,8 +70,14 @@ def page(kv: DataFrame, after, size: int) -> DataFrame:
 
 
 def read(kv: DataFrame, keys: DataFrame, default=None) -> DataFrame:
-    """A row for each row of ``keys`` (key, and others such as its position), missing ones with the default."""
-    got = keys.join(kv.withColumn("__found", F.lit(True)), "key", "left")
+    """A row for each row of ``keys`` (key, and others such as its position), missing ones with the default.
+
+    Up to ``FEW_KEYS`` keys are counted and broadcast, so that the table is filtered where it lies.
+    """
+    hits = kv.withColumn("__found", F.lit(True))
+    if len(keys.select("key").head(FEW_KEYS + 1)) <= FEW_KEYS:
+        hits = hits.join(F.broadcast(keys.select("key").distinct()), "key", "left_semi")
+    got = keys.join(hits, "key", "left")
     value = F.when(F.col("__found"), F.col("value")).otherwise(F.lit(default)) if default is not None else F.col("value")
     return got.select(*keys.columns, value.alias("value"), F.coalesce("vsn", F.lit(0)).alias("vsn"), F.coalesce("time", F.lit(0)).alias("time"))
 

@@ -52,6 +52,11 @@ def without_smallest(df: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(least), F.col(key) > F.col("__least")).drop("__least")
 
 
+def without_largest(df: DataFrame, key: str) -> DataFrame:
+    most = df.agg(F.max(key).alias("__most"))
+    return df.join(F.broadcast(most), F.col(key) < F.col("__most")).drop("__most")
+
+
 def top(df: DataFrame, by: str, n: int, distinct_values: bool = False) -> DataFrame:
     """The ``n`` rows with the largest values; optionally one row (the least others) for each value."""
     if distinct_values:

@@ -96,6 +96,7 @@ def matches_calendar(ts: Column, rules: dict[str, int | list[int]]) -> Column:
 
 
 def strongest_per_day(events: DataFrame, ts: str, level: str) -> DataFrame:
-    """Of the events of a day only those of its highest level."""
-    best = F.max(level).over(W.partitionBy(F.to_date(ts)))
-    return events.withColumn("__best", best).filter(F.col(level) == F.col("__best")).drop("__best")
+    """Of the events of a day only those of its highest level; days meet as one row each."""
+    day = F.to_date(ts)
+    best = events.groupBy(day.alias("__day")).agg(F.max(level).alias("__best"))
+    return events.join(best, day.eqNullSafe(F.col("__day"))).filter(F.col(level) == F.col("__best")).drop("__day", "__best")

@@ -133,6 +133,7 @@ query("kv_by_rank", WITH + "SELECT * FROM kv ORDER BY key LIMIT 1 OFFSET 49")(la
 query("kv_prev_next", WITH + "SELECT max(key) FILTER (key < 100) AS prev, min(key) FILTER (key > 100) AS next FROM kv")(lambda s, d: rank.neighbours(orders(s, d), "key", 100))
 query("kv_first_last", WITH + "SELECT min(key) AS first, max(key) AS last FROM kv")(lambda s, d: rank.ends(orders(s, d), "key"))
 query("kv_take_smallest", WITH + "SELECT * FROM kv WHERE key > (SELECT min(key) FROM kv)")(lambda s, d: rank.without_smallest(orders(s, d), "key"))
+query("kv_take_largest", WITH + "SELECT * FROM kv WHERE key < (SELECT max(key) FROM kv)")(lambda s, d: rank.without_largest(orders(s, d), "key"))
 query("kv_numbered", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) + 99 AS id FROM customer")(
     lambda s, d: merge.numbered(table(s, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], 100).drop("c_acctbal")
 )

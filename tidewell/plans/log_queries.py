@@ -28,10 +28,6 @@ query("log_tokens", r"SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) A
 query("log_postings", POST + "SELECT token, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM post GROUP BY token")(lambda s, d: search.posting_lists(postings(s, d)).withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ",")))
 query(
     "log_trigrams",
-    POST + "SELECT DISTINCT substr('$' || token || '$', CAST(i AS INTEGER), 3) AS gram, token FROM (SELECT DISTINCT token FROM post), range(1, 200) r(i) WHERE i <= greatest(length(token), 1)",
-)(lambda s, d: search.gram_index(postings(s, d).filter(F.length("token") < 199)))
-query(
-    "log_trigrams_all",
     POST + "SELECT DISTINCT substr('$' || token || '$', CAST(i AS INTEGER), 3) AS gram, token FROM (SELECT token, unnest(range(1, greatest(length(token), 1) + 1)) AS i FROM (SELECT DISTINCT token FROM post))",
 )(lambda s, d: search.gram_index(postings(s, d)))
 query("log_search_and", POST + "SELECT doc_id FROM post WHERE token = 'the' INTERSECT SELECT doc_id FROM post WHERE token = 'is'")(lambda s, d: search.boolean_search(postings(s, d), ("and", "the", "is")))

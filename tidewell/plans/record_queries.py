@@ -87,4 +87,12 @@ query("condition_tree", f"SELECT id FROM ({REC}) WHERE (size > 10 AND NOT price
 query("condition_arithmetic", f"SELECT id, size // 7 AS q, size % 7 AS r, CAST(power(size, 2) AS DOUBLE) AS p FROM ({REC})")(
     lambda s, d: parts(s, d).select("id", conditions.compiled(("div", "size", 7)).cast("int").alias("q"), conditions.compiled(("rem", "size", 7)).alias("r"), conditions.compiled(("^", "size", 2)).alias("p"))
 )
+query(
+    "condition_division",
+    "WITH n AS (SELECT o_orderkey, o_custkey - 7000 AS x, 9007199254740993 - o_orderkey AS y FROM orders) SELECT o_orderkey, CASE WHEN x < 0 THEN -((-x) // 7) ELSE x // 7 END AS q, CASE WHEN x < 0 THEN -((-x) % 7) ELSE x % 7 END AS r, y // 1 AS whole FROM n",
+)(
+    lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "o_custkey - 7000 AS x", "9007199254740993 - o_orderkey AS y").select(
+        "o_orderkey", conditions.compiled(("div", "x", 7)).alias("q"), conditions.compiled(("rem", "x", 7)).alias("r"), conditions.compiled(("div", "y", 1)).alias("whole")
+    )
+)
 query("condition_overload", f"SELECT id FROM ({REC}) WHERE contains(brand, CAST(size AS VARCHAR))")(lambda s, d: parts(s, d).filter(conditions.compiled(("+", "brand", "size"), {"+": lambda a, b: F.contains(a, b.cast("string"))})).select("id"))

@@ -8,25 +8,13 @@ from tidewell.operators import series, spatial
 from tidewell.plans.catalogue import query
 from tidewell.sources.tables import table
 
-HALVES = "f AS (SELECT user_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events WHERE event_id % 3 = 0 AND user_id % 7 <> 1 GROUP BY user_id), l AS (SELECT user_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events WHERE event_id % 3 = 1 AND user_id % 7 <> 2 GROUP BY user_id)"
-
-
-def _sample(s, d, rest, lacks):
-    return table(s, d, "events").filter(f"event_id % 3 = {rest} AND user_id % 7 <> {lacks}").groupBy("user_id").agg(F.sum(F.floor("value")).alias("v"))
-
-
-query("sample_difference", f"WITH {HALVES} SELECT user_id, CASE WHEN f.v IS NULL THEN l.v WHEN l.v IS NULL THEN f.v ELSE l.v - f.v END AS v FROM f FULL JOIN l USING (user_id)")(
-    lambda s, d: series.sample_difference(_sample(s, d, 0, 1), _sample(s, d, 1, 2), "user_id", "v")
-)
-
-
 def _sums(s, d, when):
     return table(s, d, "events").filter(when).groupBy("user_id").agg(F.sum(F.floor("value")).alias("v"))
 
 
 _UNTIL = "ts <= TIMESTAMP '2024-01-15 12:00:00'"
 _PARTS = ", ".join(f"{name} AS (SELECT user_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events WHERE {when} GROUP BY user_id)" for name, when in (("f", _UNTIL), ("l", f"NOT ({_UNTIL})")))
-query("sample_difference_all", f"WITH {_PARTS} SELECT user_id, CASE WHEN f.v IS NULL THEN l.v WHEN l.v IS NULL THEN f.v ELSE l.v - f.v END AS v FROM f FULL JOIN l USING (user_id)")(
+query("sample_difference", f"WITH {_PARTS} SELECT user_id, CASE WHEN f.v IS NULL THEN l.v WHEN l.v IS NULL THEN f.v ELSE l.v - f.v END AS v FROM f FULL JOIN l USING (user_id)")(
     lambda s, d: series.sample_difference(_sums(s, d, _UNTIL), _sums(s, d, f"NOT ({_UNTIL})"), "user_id", "v")
 )
 query("sample_steps", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS change FROM events")(
@@ -34,43 +22,26 @@ query("sample_steps", "SELECT event_id, round(value - lag(value) OVER (PARTITION
 )
 
 
-def _points(s, d):
-    return table(s, d, "events").filter("event_id % 2 = 0").select("user_id", F.col("event_id").cast("double").alias("t"), F.col("value").alias("v"))
-
-
-def _wanted(s, d):
-    return table(s, d, "events").filter("event_id % 10 = 5").select("user_id", F.col("event_id").cast("double").alias("t"))
-
-
-_SEG = """WITH p AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t, value AS v FROM events WHERE event_id % 2 = 0),
-seg AS (SELECT user_id, t AS t0, lead(t) OVER w AS t1, v AS v0, lead(v) OVER w AS v1, coalesce(lag(v) OVER w, v) AS b, coalesce(lead(v, 2) OVER w, lead(v) OVER w) AS a FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-q AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t FROM events WHERE event_id % 10 = 5),
-j AS (SELECT q.user_id, q.t, v0, v1, a, b, (q.t - t0) / (t1 - t0) AS x FROM q LEFT JOIN seg ON seg.user_id = q.user_id AND q.t > t0 AND q.t < t1) """
-query("interpolate_linear", _SEG + "SELECT user_id, t, round(v0 + (v1 - v0) * x, 5) AS v FROM j")(lambda s, d: series.interpolate(_points(s, d), _wanted(s, d), "user_id", "t", "v").withColumn("v", F.round("v", 5)))
-query("interpolate_catmull_rom", _SEG + "SELECT user_id, t, round((2*x*x*x - 3*x*x + 1) * v0 + (x*x*x - 2*x*x + x) * (v1 - b) / 2 + (-2*x*x*x + 3*x*x) * v1 + (x*x*x - x*x) * (a - v0) / 2, 4) AS v FROM j")(
-    lambda s, d: series.interpolate(_points(s, d), _wanted(s, d), "user_id", "t", "v", "catmull_rom").withColumn("v", F.round("v", 4))
-)
-
 _LATER = 0.6180339887  # part of a step; at half of one, values often end in a 5 that engines round either way
 
 
-def _all_points(s, d):
+def _points(s, d):
     return table(s, d, "events").select("user_id", F.col("event_id").cast("double").alias("t"), F.col("value").alias("v"))
 
 
-def _all_wanted(s, d):
-    return _all_points(s, d).select("user_id", (F.col("t") + _LATER).alias("t"))
+def _wanted(s, d):
+    return _points(s, d).select("user_id", (F.col("t") + _LATER).alias("t"))
 
 
-_SEG_ALL = f"""WITH p AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t, value AS v FROM events),
+_SEG = f"""WITH p AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t, value AS v FROM events),
 seg AS (SELECT user_id, t AS t0, lead(t) OVER w AS t1, v AS v0, lead(v) OVER w AS v1, coalesce(lag(v) OVER w, v) AS b, coalesce(lead(v, 2) OVER w, lead(v) OVER w) AS a FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 q AS (SELECT user_id, CAST(event_id AS DOUBLE) + CAST({_LATER} AS DOUBLE) AS t FROM events),
 j AS (SELECT q.user_id, q.t, v0, v1, a, b, (q.t - t0) / (t1 - t0) AS x FROM q LEFT JOIN seg ON seg.user_id = q.user_id AND q.t > t0 AND q.t < t1) """
-query("interpolate_linear_all", _SEG_ALL + "SELECT user_id, t, round(v0 + (v1 - v0) * x, 5) AS v FROM j")(
-    lambda s, d: series.interpolate(_all_points(s, d), _all_wanted(s, d), "user_id", "t", "v").withColumn("v", F.round("v", 5))
+query("interpolate_linear", _SEG + "SELECT user_id, t, round(v0 + (v1 - v0) * x, 5) AS v FROM j")(
+    lambda s, d: series.interpolate(_points(s, d), _wanted(s, d), "user_id", "t", "v").withColumn("v", F.round("v", 5))
 )
-query("interpolate_catmull_rom_all", _SEG_ALL + "SELECT user_id, t, round((2*x*x*x - 3*x*x + 1) * v0 + (x*x*x - 2*x*x + x) * (v1 - b) / 2 + (-2*x*x*x + 3*x*x) * v1 + (x*x*x - x*x) * (a - v0) / 2, 4) AS v FROM j")(
-    lambda s, d: series.interpolate(_all_points(s, d), _all_wanted(s, d), "user_id", "t", "v", "catmull_rom").withColumn("v", F.round("v", 4))
+query("interpolate_catmull_rom", _SEG + "SELECT user_id, t, round((2*x*x*x - 3*x*x + 1) * v0 + (x*x*x - 2*x*x + x) * (v1 - b) / 2 + (-2*x*x*x + 3*x*x) * v1 + (x*x*x - x*x) * (a - v0) / 2, 4) AS v FROM j")(
+    lambda s, d: series.interpolate(_points(s, d), _wanted(s, d), "user_id", "t", "v", "catmull_rom").withColumn("v", F.round("v", 4))
 )
 query("timeline", "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS t_to, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w - CAST(l_quantity AS BIGINT) AS BIGINT) AS t_from FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)")(
     lambda s, d: series.timeline(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("q")), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "q").drop("q", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -118,13 +89,7 @@ query("spatial_locate", f"WITH {_BOX} SELECT p_partkey, n_nationkey FROM (SELECT
 query("spatial_line", f"WITH {_BOX} SELECT n_nationkey FROM b WHERE greatest(0, (x0 - 0) / 20.0, (y0 - 1) / 6.0) <= least(1, (x1 - 0) / 20.0, (y1 - 1) / 6.0)")(
     lambda s, d: spatial.crosses(_boxes(s, d), {"x": 0.0, "y": 1.0}, {"x": 20.0, "y": 7.0}).select("n_nationkey")
 )
-query("spatial_paths", "WITH RECURSIVE r(node, cost) AS (SELECT CAST(0 AS BIGINT), 0.0::DOUBLE UNION ALL SELECT b, cost + c FROM r JOIN (SELECT n_nationkey AS a, n_nationkey + k AS b, k * k + n_nationkey % 3 AS c FROM nation, (VALUES (1), (2), (3)) v(k)) e ON e.a = r.node WHERE b < 14) SELECT node, min(cost) AS cost FROM r GROUP BY node")(
-    lambda s, d: spatial.shortest_paths(
-        table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).selectExpr("a", "a + k AS b", "CAST(k * k + a % 3 AS DOUBLE) AS cost").filter("b < 14"), 0
-    )
-)
-# over all edges; SQL would have to list every path, so tests/test_whole_queries.py compares with Dijkstra
-query("spatial_paths_all")(
+query("spatial_paths")(
     lambda s, d: spatial.shortest_paths(
         table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).selectExpr("a", "a + k AS b", "CAST(k * k + a % 3 AS DOUBLE) AS cost"), 0
     )
