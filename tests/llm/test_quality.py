@@ -38,3 +38,23 @@ def test_fences_follow_languages_and_sources(spark):
     assert not got[5001].kept and got[5004].kept
     assert got[5002].base_failed and got[5003].base_failed and not got[5003].kept
     assert Q.judge(docs).count() == len(rows) and Q.judge(docs.limit(0)).count() == 0
+
+
+def test_very_long_words_meet_a_fence_however_high(spark):
+    """Words of 300 letters are usual in one language; words of 3,000 are not."""
+    rows = [(i, " ".join("w" * (300 + (i * k) % 7) + str(k) for k in range(60)), "xx", "s") for i in range(120)]
+    rows += [(900, " ".join("w" * 3000 + str(k) for k in range(60)), "xx", "s"), (901, "x" * 1_000_000, "xx", "s"), (902, "", None, "s")]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(120)) and not got[900].kept and not got[900].base_failed
+    assert got[901].base_failed and got[901].word_chars == 1_000_000 and not got[902].kept
+
+
+def test_sketches_merge_and_answer_quartiles(spark):
+    r = random.Random(6)
+    values = [r.choice([r.randint(0, 900), r.randint(1000, 50_000)]) for _ in range(999)]
+    stats = spark.createDataFrame([(v * 50, 500, 0, 1, 0, 0, "l", f"s{k % 3}", False) for k, v in enumerate(values)], "word_chars long, n_words long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, lang string, source string, base_failed boolean")
+    found = {(x.lang, x.source): x for x in Q.quartiles(Q.sketches(stats)).filter("metric = 'length'").collect()}
+    for key, own in [((None, None), values), (("l", None), values), (("l", "s1"), values[1::3])]:
+        x, own = found[key], sorted(own)
+        for q, rank in ((x.q1, -(-len(own) // 4)), (x.q3, -(-3 * len(own) // 4))):
+            assert 0 <= own[rank - 1] - q <= own[rank - 1] / 512 and x.total == len(own)
