@@ -4,6 +4,12 @@ Every stage but the last returns the columns of ``documents``. Toxic documents g
 then copies, then near-copies; secrets are replaced by a mark; what is left is
 tokenised and packed. No stage is expressible in SQL as a whole (a trained model,
 MinHash, a tokenizer), so ``tests/llm/test_pipeline.py`` holds it against plain code.
+
+Defined results: a null text is empty, is clean, and links with nothing but its exact
+copies, of which one row stays; so of null and empty texts one row stays in all. Of rows
+that repeat text and doc_id one stays; a null doc_id loses against any other among exact
+copies and is no near-copy. Texts of any length are used whole. Columns beyond those of
+``documents`` are kept, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
