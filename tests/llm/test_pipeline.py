@@ -61,3 +61,19 @@ def test_each_stage_against_plain_code(spark):
         length[r.doc_id] = length.get(r.doc_id, 0) + r.length
     assert length == {d: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for d, r in kept[3].items()}
     assert C.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_on_clashing_columns_repeats_and_nothing(spark):
+    first = spark.read.parquet(f"{SF}/documents.parquet").first().asDict()
+    texts = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (3, None), (4, ""), (None, "a b c d e f"), (None, None), (5, "token=abcdefghij " + "x" * 200_000), (1, "other words here")]
+    rows = [Row(**{**first, "doc_id": d, "text": t, "n_chars": None if t is None else len(t), "spans": "s", "kept": "k", "label": k, "n": 1, "length": 2}) for k, (d, t) in enumerate(texts)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema.add("spans", "string").add("kept", "string").add("label", "long").add("n", "integer").add("length", "integer")
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    nothing, columns = docs.limit(0), docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs, nothing = (settle(stage(spark, x, SF), "test") for x in (docs, nothing))
+        assert docs.columns == nothing.columns == columns and nothing.count() == 0, name
+    got = {(r.doc_id, (r.text or "")[:20], r.kept) for r in docs.collect()}
+    assert got == {(2, "A b c d e f", "k"), (4, "", "k"), (5, "[secret] xxxxxxxxxxx", "k"), (1, "other words here", "k")}
+    assert C.STAGES[-1][1](spark, nothing, SF).count() == 0
+    assert {(r.doc_id, r.piece) for r in C.STAGES[-1][1](spark, docs, SF).collect()} >= {(1, 0), (2, 0), (4, 0), (5, 0)}
