@@ -15,8 +15,9 @@ wherever ``PASSAGE + 2 * WINDOW - 1`` words (51) occur again, all go but at most
 ``WINDOW - 1`` at the front and ``WINDOW`` at the end.
 
 Each batch of texts first keeps one run of each hash, the least; the others are known
-not to be first. So a hot run reaches the shuffle as one row per batch. What arrives
-is ranked within its hash by one sort, without a join.
+not to be first and go on under their text's own key. So a hot run meets as one row per
+batch, all runs are shuffled once, and are ranked within their hash by one sort, without
+a join. A batch must be cut alike when a task is run again, as it is for a table's files.
 
 Defined results: null texts are empty; runs within one text repeat too; rows that
 repeat a doc_id are texts of their own, but rows that repeat both doc_id and text
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.rolling import prefix_sums, span_hashes
 from tidewell.llm.text import map_arrow
-from tidewell.sources.tables import discard, settle
+from tidewell.sources.tables import settle
 
 SPAN, WORDS = 3, 8
 WINDOW, PASSAGE = 10, 32
@@ -100,7 +101,7 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each run; ``later`` where a lesser run of its hash lies in the same batch."""
+    """A row for each run; ``later`` where a lesser run of its hash lies in the same batch, with the text's key in place of the hash."""
     h = xxhash.xxh3_128_digest
     for batch in batches:
         places, sizes, lengths, digests = [], [], [], []
@@ -127,6 +128,8 @@ def _run_rows(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.
         least = order[np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(order))))]
         later = np.empty(len(order), bool)
         later[order] = (text_order[row][order] != text_order[row][least]) | (place[order] != place[least])
+        own = (check.astype(np.int64) << 32) ^ doc_id.fill_null(0).to_numpy()
+        high, low = np.where(later, own[row], high), np.where(later, place, low)
         yield pa.RecordBatch.from_arrays(
             [doc_id.take(pa.array(row)), pa.array(check[row], pa.int32()), pa.array(place), pa.array(size), pa.array(high), pa.array(low), pa.array(later)],
             ["doc_id", "check", "place", "words", "high", "low", "later"],
@@ -173,13 +176,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, passages: bool = True) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed and the remaining text; without ``passages`` by runs of whole sentences alone."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.hash("text").alias("check"))
-    every = settle(map_arrow(rows, partial(_run_rows, passages=passages), "doc_id long, check int, place int, words int, high long, low int, later boolean"), "runs")
-    order = W.partitionBy("high", "low").orderBy("doc_id", "check", "place")
-    ranked = every.filter("NOT later").withColumn("nth", F.rank().over(order)).filter("nth > 1")
-    again = every.filter("later").select("doc_id", "check", "place", "words").unionByName(ranked.select("doc_id", "check", "place", "words"))
+    every = map_arrow(rows, partial(_run_rows, passages=passages), "doc_id long, check int, place int, words int, high long, low int, later boolean")
+    order = W.partitionBy("later", "high", "low").orderBy("doc_id", "check", "place")
+    again = every.withColumn("nth", F.rank().over(order)).filter("later OR nth > 1")
     span = F.shiftleft(F.col("place").cast("long"), 32) + F.col("words")
     spans = settle(again.groupBy("doc_id", "check").agg(F.collect_set(span).alias("spans")), "spans")
-    discard(every)
     of_text = spans.select(F.col("doc_id").alias("id"), F.col("check").alias("own"), "spans").hint("shuffle_hash")
     joined = rows.join(of_text, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("check") == F.col("own")), "left")
     return map_arrow(joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans")), _cleaned, "doc_id long, n_sentences long, n_removed long, text string")
