@@ -67,3 +67,27 @@ def test_operators(spark):
     want = {r[0]: r[1] for r in docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()}
     assert {r.doc_id: r.decoded_sha256 for r in rows.collect()} == want
     assert S.round_trip(docs.limit(0), MODEL).count() == 0
+
+
+def test_long_words_without_spaces():
+    p = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for cost in (0.0, S.FEWEST):
+        codec = S.PieceCodec(MODEL, cost)
+        score = {i: p.get_score(i) - cost for i in range(p.get_piece_size())}
+        vocabulary = {p.id_to_piece(i): (score[i], i) for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))}
+        r = random.Random(3)
+        texts = ["".join(r.choice(alphabet) for _ in range(n)) for n, alphabet in ((511, "ethinrs"), (513, "ethinrs"), (1500, "ABCabc019+/"), (1600, "ab"), (900, "日本語中国人大学の"), (700, "thein日▁"), (257, "="))]
+        for text, data in zip(texts, codec.encode(texts), strict=True):
+            ids = np.frombuffer(data, "<i4").tolist()
+            assert codec.decode([np.array(ids)]) == [text]
+            best = brute(text, vocabulary, codec.byte_ids.tolist(), codec.low, codec.longest)
+            assert ids == best
+            assert cost == 0 or len(ids) <= len(p.encode(text)) or "▁" in text
+        assert not any(len(w) > S.SHORT for w in codec.cache)
+
+
+def test_a_million_characters_without_spaces(codec):
+    r = random.Random(4)
+    for alphabet in ("日本語中国人大学の一二三", "ABCDEFGHIJKLMabcdefghijklm0123456789+/"):
+        text = "".join(r.choices(alphabet, k=1_000_000))
+        assert codec.decode([np.frombuffer(codec.encode([text])[0], "<i4")]) == [text]
