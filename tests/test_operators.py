@@ -126,3 +126,37 @@ def test_scalars(spark):
         rows = df.select("b", back(make("b")).alias("c")).collect()
         assert all(r.b == r.c for r in rows)
     assert spark.range(30).filter(S.is_prime(F.col("id"))).count() == 10
+
+
+def test_overlaps_with_rests(spark):
+    def shown(a, z, b, y):
+        got = spark.range(1).select(setops.overlap_rests(*[F.lit(x) for x in (a, z, b, y)]).alias("o")).first().o
+        return tuple(x and tuple(x) for x in got)
+
+    assert shown(1, 4, 1, 4) == (None, (1, 4, True, True), None)
+    assert shown(1, 2, 4, 5) == ((1, 2, True, True), None, (4, 5, True, True))
+    assert shown(1, 3, 3, 5) == ((1, 3, True, False), (3, 3, True, True), (3, 5, False, True))
+    assert shown(2, 9, 3, 5) == ((2, 3, True, False), (3, 5, True, True), (5, 9, False, True))
+
+
+def test_clear_digests_and_choice(spark):
+    t = spark.createDataFrame([(k, float(k), 2, 0) for k in range(9)], "key long, value double, vsn int, time long")
+    rest, before = kv.cleared(t)
+    assert (rest.count(), before.first().n) == (0, 9)
+    assert setops.digest_diff(t, t).first().unequal == []
+    assert setops.digest_diff(t, t.limit(0)).first().unequal == ["first", "last", "size", "hash"]
+    places = [setops.shuffled(t.repartition(n), "key", 5).orderBy("key").select("place").collect() for n in (1, 4)]
+    assert places[0] == places[1] and sorted(r.place for r in places[0]) == list(range(1, 10))
+    loads = spark.createDataFrame([("a", 0), ("b", 3), ("c", 2), ("d", 9)], "node string, n long")
+    assert {r.node for r in rank.least_loaded(loads, "n", 2, 2).collect()} == {"a", "b", "c"}
+    assert rank.least_loaded(loads.limit(0), "n", 2, 2).count() == 0
+
+
+def test_folds_and_fields(spark):
+    row = spark.range(1).select(
+        S.fold_until(F.array(F.lit(2), F.lit(3), F.lit(5)), F.lit(0), lambda a, x: a + x, lambda a: a > 4).alias("some"),
+        S.fold_until(F.array().cast("array<int>"), F.lit(1), lambda a, x: a + x, lambda a: a > 4).alias("none"),
+        S.get_column(F.array(F.lit(7), F.lit(8)), 0).alias("own"),
+        S.set_column(F.array(F.lit(7), F.lit(8)), 2, F.lit(1)).alias("set"),
+    ).first()
+    assert tuple(row) == (5, 1, [7, 8], [7, 1])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -214,3 +216,34 @@ def gzipped(data: pd.Series) -> pd.Series:
 @F.pandas_udf(BinaryType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else gzip.decompress(x))
+
+
+def fold_until(values: Column, zero: Column, step: Callable[[Column, Column], Column], stop: Callable[[Column], Column]) -> Column:
+    """An array folded from the left, until ``stop`` is true of what has been folded so far."""
+    begin = F.struct(zero.alias("acc"), F.coalesce(stop(zero), F.lit(False)).alias("over"))
+
+    def one(state: Column, x: Column) -> Column:
+        acc = F.when(state["over"], state["acc"]).otherwise(step(state["acc"], x))
+        return F.struct(acc.alias("acc"), F.coalesce(state["over"] | stop(acc), F.lit(False)).alias("over"))
+
+    return F.aggregate(values, begin, one, lambda state: state["acc"])
+
+
+def get_column(value: Column, column: int | list[int]) -> Column:
+    """A field of a row of values by its place from 1; 0 is the row itself, a list gives several fields."""
+    if isinstance(column, list):
+        return F.array(*[F.element_at(value, i) for i in column])
+    return F.element_at(value, column) if column else value
+
+
+def set_column(value: Column, column: int | list[int], new: Column | list[Column]) -> Column:
+    """A row of values with fields replaced, at a place from 1 or at several; 0 replaces the row."""
+    if column == 0:
+        return new
+    columns, news = (column, new) if isinstance(column, list) else ([column], [new])
+    replaced = dict(zip(columns, news, strict=True))
+
+    def field(old: Column, at: Column) -> Column:
+        return reduce(lambda rest, i: F.when(at == i - 1, replaced[i]).otherwise(rest), replaced, old)
+
+    return F.transform(value, field)

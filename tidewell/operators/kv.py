@@ -130,3 +130,8 @@ def running_filter(kv: DataFrame, amount: Column, limit) -> DataFrame:
 
 def estimate_count(kv: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
     return kv.sample(fraction=fraction, seed=seed).agg(F.round(F.count("*") / fraction).cast("long").alias("estimate"))
+
+
+def cleared(kv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table without rows, and one row with the number that it had."""
+    return kv.filter(F.lit(False)), result(kv, "count")

@@ -63,3 +63,15 @@ def top(df: DataFrame, by: str, n: int, distinct_values: bool = False) -> DataFr
         rest = [c for c in df.columns if c != by]
         df = df.groupBy(by).agg(F.min(F.struct(*rest)).alias("r")).select(by, "r.*").select(df.columns)
     return df.orderBy(F.col(by).desc(), *[c for c in df.columns if c != by]).limit(n)
+
+
+def least_loaded(loads: DataFrame, burden: str, divisor: int, n: int) -> DataFrame:
+    """The ``n`` rows of the least load class (``burden`` div ``divisor``) and all that tie with the last of them."""
+    load = F.floor(F.col(burden) / divisor).cast("long")
+    limit = loads.select(load.alias("load")).orderBy("load").limit(n).agg(F.max("load").alias("__limit"))
+    return loads.withColumn("load", load).join(F.broadcast(limit), F.col("load") <= F.col("__limit")).drop("__limit")
+
+
+def choose(candidates: DataFrame, key: str, seed: int) -> DataFrame:
+    """One row of the candidates, decided by ``seed``."""
+    return candidates.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(1)

@@ -37,6 +37,12 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return postings.select("token", "doc_id").distinct().groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
 
 
+def posting_chunks(postings: DataFrame, width: int = 10_000) -> DataFrame:
+    """(token, chunk, docs): sorted distinct documents by ranges of ``width`` ids, so that no list of a frequent token outgrows a row."""
+    chunk = F.floor(F.col("doc_id") / width).alias("chunk")
+    return postings.select("token", "doc_id").distinct().groupBy("token", chunk).agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+
+
 def grams(word: Column, n: int = 3) -> Column:
     """The distinct n-grams of ``$word$``."""
     full = F.concat(F.lit(WILDCARD), word, F.lit(WILDCARD))

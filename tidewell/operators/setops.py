@@ -72,3 +72,42 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
 def merge_maps(a: Column, b: Column) -> Column:
     """Maps merged; of a common key the first map's value stays."""
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, y))
+
+
+def overlap_rests(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Two closed intervals as struct(before, common, after), each null where it is empty.
+
+    ``before`` and ``after`` are what only one of the intervals covers, with open bounds
+    towards the common part; intervals that lie apart are whole there, the first in ``before``.
+    """
+    start, end = F.greatest(a_start, b_start), F.least(a_end, b_end)
+    apart = start > end
+
+    def part(a: Column, z: Column, a_closed: Column, z_closed: Column) -> Column:
+        return F.struct(a.alias("start"), z.alias("end"), a_closed.alias("start_closed"), z_closed.alias("end_closed"))
+
+    yes, no = F.lit(True), F.lit(False)
+    before = F.when(apart, part(a_start, a_end, yes, yes)).when(a_start != b_start, part(F.least(a_start, b_start), start, yes, no))
+    common = F.when(~apart, part(start, end, yes, yes))
+    after = F.when(apart, part(b_start, b_end, yes, yes)).when(a_end != b_end, part(end, F.greatest(a_end, b_end), no, yes))
+    return F.struct(before.alias("before"), common.alias("common"), after.alias("after"))
+
+
+def digest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the names of the fields in which the digests of two tables differ, none if they are the same."""
+    fields = ["first", "last", "size", "hash"]
+    both = digest(a).select(F.struct(*fields).alias("l")).join(F.broadcast(digest(b).select(F.struct(*fields).alias("r"))))
+    return both.select(F.array_compact(F.array(*[F.when(~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), F.lit(f)) for f in fields])).alias("unequal"))
+
+
+def split_count(length: Column, parts: Column) -> Column:
+    """How many go to each of ``parts``; all of them where there are fewer than parts."""
+    return F.when((parts > 0) & (length >= parts), F.floor(length / parts)).otherwise(length).cast("long")
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with a ``place`` in an order that ``seed`` alone decides, whatever the partitions."""
+    from tidewell.operators.rank import with_rank
+
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return with_rank(df.withColumn("__mixed", mixed), ["__mixed", key], "place").drop("__mixed")

@@ -171,3 +171,50 @@ query(
 )
 query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")(lambda s, d: rank.top(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20))
 query("top_n_distinct", "SELECT p_size, min(p_partkey) AS p_partkey FROM part GROUP BY p_size ORDER BY p_size DESC LIMIT 10")(lambda s, d: rank.top(table(s, d, "part").select("p_size", "p_partkey"), "p_size", 10, distinct_values=True))
+
+
+@query("kv_clear", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS after FROM orders")
+def kv_clear(spark, d):
+    rest, before = kv.cleared(orders(spark, d))
+    return before.join(F.broadcast(rest.agg(F.count("*").alias("after"))))
+
+
+query("kv_estimate_count", "SELECT count(*) AS estimate FROM orders")(lambda s, d: kv.estimate_count(orders(s, d), 1.0))
+
+
+@query(
+    "interval_overlap_rests",
+    """WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) AS a, CAST(l_linenumber + l_quantity AS BIGINT) AS z, CAST(l_suppkey % 20 AS BIGINT) AS b, CAST(l_suppkey % 20 + l_partkey % 30 AS BIGINT) AS y FROM lineitem)
+    SELECT l_orderkey, l_linenumber,
+      CASE WHEN z < b OR y < a THEN '[' || a || ',' || z || ']' WHEN a < b THEN '[' || a || ',' || b || ')' WHEN b < a THEN '[' || b || ',' || a || ')' END AS before,
+      CASE WHEN z >= b AND y >= a THEN '[' || greatest(a, b) || ',' || least(z, y) || ']' END AS common,
+      CASE WHEN z < b OR y < a THEN '[' || b || ',' || y || ']' WHEN z < y THEN '(' || z || ',' || y || ']' WHEN y < z THEN '(' || y || ',' || z || ']' END AS after FROM i""",
+)
+def interval_overlap_rests(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CAST(l_linenumber AS LONG) AS a", "CAST(l_linenumber + l_quantity AS LONG) AS z", "CAST(l_suppkey % 20 AS LONG) AS b", "CAST(l_suppkey % 20 + l_partkey % 30 AS LONG) AS y")
+    parts = rows.select("l_orderkey", "l_linenumber", setops.overlap_rests(F.col("a"), F.col("z"), F.col("b"), F.col("y")).alias("o"))
+    shown = "concat(if(o.{0}.start_closed, '[', '('), o.{0}.start, ',', o.{0}.end, if(o.{0}.end_closed, ']', ')')) AS {0}"
+    return parts.selectExpr("l_orderkey", "l_linenumber", *[f"if(o.{x} IS NULL, NULL, {shown.format(x).rsplit(' AS ', 1)[0]}) AS {x}" for x in ("before", "common", "after")])
+
+
+query("replica_digest_diff", "SELECT 'last,size,hash' AS unequal")(
+    lambda s, d: setops.digest_diff(orders(s, d), orders(s, d).join(F.broadcast(orders(s, d).agg(F.max("key").alias("most"))), F.col("key") < F.col("most")).drop("most")).select(F.array_join("unequal", ",").alias("unequal"))
+)
+query("set_split_count", "SELECT o_orderkey, CAST(CASE WHEN o_custkey > 0 AND o_orderkey >= o_custkey THEN o_orderkey // nullif(o_custkey, 0) ELSE o_orderkey END AS BIGINT) AS n FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", setops.split_count(F.col("o_orderkey"), F.col("o_custkey")).alias("n"))
+)
+query("set_shuffled", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) AS place FROM orders")(lambda s, d: setops.shuffled(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 7))
+query("set_merge_maps", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS a, 'y' AS b, o_orderstatus AS c FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", setops.merge_maps(F.create_map(F.lit("a"), F.col("o_custkey").cast("string"), F.lit("b"), F.lit("y")), F.create_map(F.lit("b"), F.lit("z"), F.lit("c"), F.col("o_orderstatus"))).alias("m"))
+    .selectExpr("o_orderkey", "m['a'] AS a", "m['b'] AS b", "m['c'] AS c")
+)
+LOADS = "SELECT s_nationkey, count(*) AS n, count(*) // 2 AS load FROM supplier GROUP BY s_nationkey"
+CANDIDATES = f"WITH l AS ({LOADS}), c AS (SELECT * FROM l WHERE load <= (SELECT max(load) FROM (SELECT load FROM l ORDER BY load LIMIT 4))) "
+
+
+def loads(s, d):
+    return table(s, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+
+
+query("least_loaded_candidates", CANDIDATES + "SELECT * FROM c")(lambda s, d: rank.least_loaded(loads(s, d), "n", 2, 4))
+query("least_loaded_choice", CANDIDATES + "SELECT * FROM c ORDER BY md5('3:' || s_nationkey) LIMIT 1")(lambda s, d: rank.choose(rank.least_loaded(loads(s, d), "n", 2, 4), "s_nationkey", 3))

@@ -115,3 +115,12 @@ query("agg_age_buckets", "SELECT CAST(length(bin(o_orderkey + 1)) - 1 AS INTEGER
     lambda s, d: table(s, d, "orders").groupBy(S.integer_log2(F.col("o_orderkey") + 1).alias("bucket")).agg(F.count("*").alias("n"))
 )
 query("agg_frequencies", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
+query("list_fold_until", "SELECT o_orderkey, CASE WHEN o_orderkey >= 100 THEN o_orderkey WHEN o_orderkey + o_custkey >= 100 THEN o_orderkey + o_custkey ELSE o_orderkey + o_custkey + 7 END AS v FROM orders")(
+    _of("orders", "o_orderkey", lambda: S.fold_until(F.array("o_orderkey", "o_custkey", F.lit(7).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x, lambda a: a >= 100).alias("v"))
+)
+query("tuple_columns", "SELECT o_orderkey, o_custkey AS second, o_custkey || ',' || o_orderkey AS swapped, '0,' || o_custkey || ',9' AS changed FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", F.array("o_orderkey", "o_custkey", F.lit(5).cast("long")).alias("t")).select(
+        "o_orderkey", S.get_column(F.col("t"), 2).alias("second"), F.array_join(S.get_column(F.col("t"), [2, 1]).cast("array<string>"), ",").alias("swapped"),
+        F.array_join(S.set_column(F.col("t"), [1, 3], [F.lit(0).cast("long"), F.lit(9).cast("long")]).cast("array<string>"), ",").alias("changed"),
+    )
+)

@@ -113,3 +113,9 @@ def _other():
 query("spatial_point_line", "SELECT l_orderkey, l_linenumber, round(abs(3 * (0 - l_discount) - (0 - l_quantity) * 4) / 5, 6) AS far FROM lineitem")(
     lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(spatial.point_line([F.col("l_quantity"), F.col("l_discount")], [F.lit(0.0), F.lit(0.0)], [F.lit(3.0), F.lit(4.0)]), 6).alias("far"))
 )
+query("spatial_angle_lerp", "SELECT l_orderkey, l_linenumber, round(acos(least(1.0, l_quantity / sqrt(l_quantity * l_quantity + 1.0))), 6) AS angle, round(l_quantity + (1 - l_quantity) * l_discount, 6) AS x, round(1 - l_discount, 6) + 0.0 AS y FROM lineitem")(
+    lambda s, d: table(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(spatial.angle([F.col("l_quantity"), F.lit(1.0), F.lit(0.0)], [F.lit(1.0), F.lit(0.0), F.lit(0.0)]), 6).alias("angle"),
+        *[(F.round(v, 6) + 0.0).alias(n) for n, v in zip("xy", spatial.lerp([F.col("l_quantity"), F.lit(1.0)], [F.lit(1.0), F.lit(0.0)], F.col("l_discount")), strict=True)],
+    )
+)
