@@ -86,6 +86,17 @@ def matrix_power(a: Column, b: Column, c: Column, d: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), one, times) if n > 0 else one
 
 
+def password(text: Column, key: list[int]) -> Column:
+    """A chain of MD5 digests over a text, one for each number of the key; an empty text stays empty."""
+    digest = reduce(lambda d, k: F.md5(F.concat(text, F.lit(f" {k} "), d).cast("binary")), key, F.lit("none"))
+    return F.when(text == "", F.lit("")).otherwise(digest)
+
+
+def double_hash(k: Column, buckets: int, probe: Column) -> Column:
+    """The bucket of the ``probe``-th attempt at a hash value; ``buckets`` is prime."""
+    return ((k % buckets) + probe * (1 + k % (buckets - 1))) % buckets
+
+
 def json_equal(a: Column, b: Column) -> Column:
     """Whether two JSON values are the same, members in any order at any depth; 1 and "1" differ."""
     return F.to_json(F.parse_json(a)) == F.to_json(F.parse_json(b))

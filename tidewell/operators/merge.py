@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.kv import FIRST_VERSION
+from tidewell.sources.tables import settle
 
 
 def _joined(kv: DataFrame, changes: DataFrame) -> DataFrame:
@@ -61,6 +62,13 @@ def invalid_restores(rows: DataFrame) -> DataFrame:
     return rows.filter("vsn > 0").groupBy("key").agg(F.count_distinct("vsn").alias("versions")).filter("versions > 1")
 
 
+def restore_counts(kv: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: how many keys :func:`restore` adds, how many it replaces, and how many it leaves as they are."""
+    new = rows.select("key").distinct().withColumn("new", F.lit(True))
+    both = kv.select("key", F.lit(True).alias("old")).join(new, "key", "full")
+    return both.agg(*(F.count_if(F.expr(c)).alias(n) for n, c in (("added", "old IS NULL"), ("replaced", "old AND new"), ("kept", "new IS NULL"))))
+
+
 def latest_wins(rows: DataFrame) -> DataFrame:
     """Of the rows of a key the one with the largest version, then time; partial aggregates meet, not rows.
 
@@ -94,6 +102,53 @@ def transaction(tables: dict[str, DataFrame], change: Callable[[dict[str, DataFr
     return out
 
 
+def _overlaid(kv: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """The table as a later step sees it: changed values, with the versions that the rows will get."""
+    if changes is None:
+        return kv
+    return delete(write(kv, changes.filter("value IS NOT NULL")), changes.filter("value IS NULL").select("key", "vsn"))
+
+
+def super_transaction(tables: dict[str, DataFrame], steps: list[Callable[[dict[str, DataFrame]], dict[str, DataFrame] | None]], time: int) -> tuple[dict[str, DataFrame], bool]:
+    """Steps in order, all or nothing: the tables after them, and whether they apply.
+
+    A step gets the tables with what earlier steps changed, and gives each table's
+    changes (key, value; a null value deletes), or None to break off, which leaves all
+    tables as they are. A key that several steps change is written once, with the last
+    value; of a key that one step repeats the largest value counts. Each step's changes
+    are settled, so that the plan doesn't grow with the steps.
+    """
+    pending: dict[str, DataFrame] = {}
+    for step in steps:
+        changes = step({t: _overlaid(kv, pending.get(t)) for t, kv in tables.items()})
+        if changes is None:
+            return dict(tables), False
+        for t, c in changes.items():
+            new = c.groupBy("key").agg(F.max("value").alias("value")).select("key", "value", F.lit(0).alias("vsn"), F.lit(time).cast("long").alias("time"))
+            pending[t] = settle(pending[t].join(new, "key", "left_anti").unionByName(new) if t in pending else new, "changes")
+    return {t: _overlaid(kv, pending.get(t)) for t, kv in tables.items()}, True
+
+
+def dynamic_write(kv: DataFrame, keys: DataFrame, decide: Callable[[Column, Column, Column], tuple[Column, Column, Column]], now: int) -> tuple[DataFrame, DataFrame]:
+    """Write each key of ``keys`` as its own row decides: the table after it, and replies (key, reply, vsn, time).
+
+    ``decide(value, vsn, time)`` gives an action ("update", "delete" or "keep"), the new
+    value, and a reply or null. An absent key has no value, the version before the first
+    and time 0; deleting it does nothing. Keys that repeat are written once, null keys not.
+    """
+    asked = keys.select("key").distinct().filter("key IS NOT NULL").withColumn("asked", F.lit(True))
+    both = kv.select("key", F.struct("value", "vsn", "time").alias("old")).join(asked, "key", "full")
+    vsn, time = F.coalesce("old.vsn", F.lit(FIRST_VERSION - 1)), F.coalesce("old.time", F.lit(0).cast("long"))
+    action, value, reply = decide(F.col("old.value"), vsn, time)
+    both = both.select("key", "old", F.when(F.col("asked"), action).alias("action"), value.alias("new"), F.when(F.col("asked"), reply).alias("reply"), vsn.alias("vsn"), time.alias("time"))
+    updated = F.struct(F.col("new").alias("value"), (F.col("vsn") + 1).cast("int").alias("vsn"), F.lit(now).cast("long").alias("time"))
+    row = F.when(F.col("action") == "update", updated).when(F.coalesce("action", F.lit("keep")) != "delete", F.col("old"))
+    after = both.withColumn("row", row).filter("row IS NOT NULL").select("key", "row.*")
+    stamp = F.when(F.col("action") == "update", F.struct((F.col("vsn") + 1).alias("vsn"), F.lit(now).cast("long").alias("time"))).otherwise(F.struct("vsn", "time"))
+    replies = both.filter("reply IS NOT NULL").select("key", "reply", stamp.alias("s")).select("key", "reply", F.col("s.vsn").cast("int").alias("vsn"), "s.time")
+    return after, replies
+
+
 def numbered(df: DataFrame, order: list[str], start: int = 1) -> DataFrame:
     """``df`` with dense unique numbers from ``start`` in the given order, in column ``id``."""
     from tidewell.operators.kv import prefix_sums

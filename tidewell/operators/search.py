@@ -7,12 +7,15 @@ tuples ("and", a, b), ("or", a, b), ("xor", a, b) over tokens.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WILDCARD = "$"
+# The system fields of a log entry.
+SYSTEM_FIELDS = ["$time", "$level", "$src", "$mod", "$code", "$type"]
 
 
 def tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -21,15 +24,29 @@ def tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(words).alias("place", "token")).select("token", "doc_id", "place")
 
 
-def entry_tokens(logs: DataFrame, data: str = "data") -> DataFrame:
-    """(token, doc_id): every key and every value of a log's map gives a token."""
-    both = F.concat(F.map_keys(data), F.map_values(data))
-    return logs.select(F.explode(both).alias("token"), "doc_id").filter("token IS NOT NULL").distinct()
+def entry_words(data: Column) -> Column:
+    """The tokens of a log's map: of a system field its value, the time (milliseconds) in whole minutes; of any other both key and value.
+
+    A time that is no positive number and system fields without a value give none.
+    """
+    times = F.filter(F.map_entries(data), lambda e: e["key"] == "$time")
+    minutes = F.transform(times, lambda e: F.when(e["value"].try_cast("long") > 0, F.floor(e["value"].try_cast("long") / 60000).cast("string")))
+    system = F.filter(F.map_values(F.map_filter(data, lambda k, _: k.isin([f for f in SYSTEM_FIELDS if f != "$time"]))), lambda v: v != "")
+    others = F.map_filter(data, lambda k, _: ~k.isin(SYSTEM_FIELDS))
+    return F.concat(minutes, system, F.map_keys(others), F.map_values(others))
+
+
+def entry_tokens(logs: DataFrame, data: str = "data", tokenizer: Callable[[Column], Column] = entry_words, linguistics: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(token, doc_id) of logs: ``tokenizer`` turns a map into tokens, ``linguistics`` a token into another, or into null to drop it."""
+    words = tokenizer(F.col(data))
+    if linguistics:
+        words = F.transform(words, linguistics)
+    return logs.select(F.explode(words).alias("token"), "doc_id").filter("token IS NOT NULL").distinct()
 
 
-def dictionary(postings: DataFrame, shards: int = 2) -> DataFrame:
-    """(token, frequency, shard)."""
-    return postings.groupBy("token").agg(F.count("*").alias("frequency")).withColumn("shard", F.pmod(F.crc32("token"), F.lit(shards)))
+def dictionary(postings: DataFrame, shards: int = 2, mapping: Callable[[Column], Column] = F.crc32) -> DataFrame:
+    """(token, frequency, shard); ``mapping`` gives the number that decides a token's shard."""
+    return postings.groupBy("token").agg(F.count("*").alias("frequency")).withColumn("shard", F.pmod(mapping(F.col("token")), F.lit(shards)))
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:

@@ -218,3 +218,44 @@ def loads(s, d):
 
 query("least_loaded_candidates", CANDIDATES + "SELECT * FROM c")(lambda s, d: rank.least_loaded(loads(s, d), "n", 2, 4))
 query("least_loaded_choice", CANDIDATES + "SELECT * FROM c ORDER BY md5('3:' || s_nationkey) LIMIT 1")(lambda s, d: rank.choose(rank.least_loaded(loads(s, d), "n", 2, 4), "s_nationkey", 3))
+query("kv_restore_counts", _WCH + "SELECT count(*) FILTER (WHERE kv.key IS NULL) AS added, count(*) FILTER (WHERE kv.key IS NOT NULL AND ch.key IS NOT NULL) AS replaced, count(*) FILTER (WHERE ch.key IS NULL) AS kept FROM kv FULL JOIN ch ON kv.key = ch.key")(
+    lambda s, d: merge.restore_counts(orders(s, d), _changes(s, d, 5))
+)
+
+
+@query("kv_super_transaction", WITH + "SELECT key, CASE WHEN value < 50000 THEN value * 2 + 1 ELSE value END AS value, CAST(CASE WHEN value < 50000 THEN 3 ELSE 2 END AS INTEGER) AS vsn, CASE WHEN value < 50000 THEN 7 ELSE time END AS time FROM kv WHERE value < 150000")
+def kv_super_transaction(spark, d):
+    doubled = lambda t: {"orders": t["orders"].filter("value < 50000").select("key", (F.col("value") * 2).alias("value"))}
+    raised = lambda t: {"orders": t["orders"].filter("vsn = 3").select("key", (F.col("value") + 1).alias("value"))}
+    dropped = lambda t: {"orders": t["orders"].filter("value >= 150000").select("key", F.lit(None).cast("double").alias("value"))}
+    return merge.super_transaction({"orders": orders(spark, d)}, [doubled, raised, dropped], 7)[0]["orders"]
+
+
+query("kv_super_transaction_broken", KV)(
+    lambda s, d: merge.super_transaction({"orders": orders(s, d)}, [lambda t: {"orders": t["orders"].select("key", F.lit(0.0).alias("value"))}, lambda t: None], 7)[0]["orders"]
+)
+
+
+def _by_value(value, vsn, time):
+    action = F.when(value.isNull() | (value < 50000), "update").when(value > 200000, "delete").otherwise("keep")
+    return action, F.coalesce(value, F.lit(0.0)) + 1, F.when(value.isNull() | (value < 100000), F.coalesce(value, F.lit(-1.0)))
+
+
+_ASKED = WITH + ", k AS (SELECT DISTINCT key + 1 AS key FROM kv), b AS (SELECT coalesce(kv.key, k.key) AS key, value, vsn, time, k.key IS NOT NULL AS asked FROM kv FULL JOIN k ON kv.key = k.key) "
+
+
+def _asked(spark, d):
+    return merge.dynamic_write(orders(spark, d), orders(spark, d).select((F.col("key") + 1).alias("key")), _by_value, 9)
+
+
+query(
+    "kv_dynamic_write",
+    _ASKED + """SELECT key, CASE WHEN asked AND coalesce(value, 0) < 50000 THEN coalesce(value, 0) + 1 ELSE value END AS value,
+    CAST(CASE WHEN asked AND coalesce(value, 0) < 50000 THEN coalesce(vsn, 1) + 1 ELSE vsn END AS INTEGER) AS vsn,
+    CASE WHEN asked AND coalesce(value, 0) < 50000 THEN 9 ELSE time END AS time FROM b WHERE NOT (asked AND coalesce(value, 0) > 200000)""",
+)(lambda s, d: _asked(s, d)[0])
+query(
+    "kv_dynamic_replies",
+    _ASKED + """SELECT key, coalesce(value, -1) AS reply, CAST(coalesce(vsn, 1) + CASE WHEN coalesce(value, 0) < 50000 THEN 1 ELSE 0 END AS INTEGER) AS vsn,
+    CASE WHEN coalesce(value, 0) < 50000 THEN 9 ELSE time END AS time FROM b WHERE asked AND coalesce(value, 0) < 100000""",
+)(lambda s, d: _asked(s, d)[1])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.operators import search
 from tidewell.plans.catalogue import query
-from tidewell.sources.tables import table
+from tidewell.sources import log_index
+from tidewell.sources.tables import shared_dir, table
 
 TOK = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \t\r\n]+')) AS token FROM documents)"
 POST = f"WITH {TOK}, post AS (SELECT DISTINCT token, doc_id FROM tok) "
@@ -66,3 +69,34 @@ query("log_windows", "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS window_
 query("log_posting_chunks", POST + "SELECT token, CAST(doc_id // 100 AS BIGINT) AS chunk, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM post GROUP BY ALL")(
     lambda s, d: search.posting_chunks(postings(s, d), 100).withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 )
+query(
+    "log_entry_system",
+    "SELECT DISTINCT unnest([CAST(CAST(floor(epoch(ts)) AS BIGINT) // 60 AS VARCHAR), upper(event_type), 'USER', CAST(user_id AS VARCHAR)]) AS token, event_id AS doc_id FROM events",
+)(
+    lambda s, d: search.entry_tokens(
+        logs(s, d).withColumn("data", F.create_map(F.lit("$time"), F.unix_millis("ts").cast("string"), F.lit("$type"), "event_type", F.lit("user"), F.col("user_id").cast("string"))), linguistics=F.upper
+    )
+)
+
+
+def _kept_index(spark, d):
+    """An index of all documents in two batches, by language."""
+    root = f"{shared_dir(spark)}/log-index-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    english = F.col("lang").eqNullSafe("en")
+    for part in (docs.filter(english), docs.filter(~english)):
+        log_index.append(search.tokens(part), root)
+    return root
+
+
+@query("log_index_dictionary", POST + "SELECT token, CAST(count(*) AS BIGINT) AS frequency FROM post GROUP BY token")
+def log_index_dictionary(spark, d):
+    root = _kept_index(spark, d)
+    log_index.compact(spark, root)
+    return log_index.dictionary(spark, root)
+
+
+query("log_index_search", POST + "SELECT doc_id FROM post GROUP BY doc_id HAVING bool_or(token = 'the') AND (bool_or(token = 'idiot') OR bool_or(token = 'was'))")(
+    lambda s, d: log_index.boolean_search(s, _kept_index(s, d), ("and", "the", ("or", "idiot", "was")))
+)
+query("log_index_wildcard", POST + "SELECT DISTINCT doc_id FROM post WHERE token LIKE '%idio%'")(lambda s, d: log_index.wildcard_search(s, _kept_index(s, d), "$idio$"))

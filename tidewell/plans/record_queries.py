@@ -96,3 +96,5 @@ query(
     )
 )
 query("condition_overload", f"SELECT id FROM ({REC}) WHERE contains(brand, CAST(size AS VARCHAR))")(lambda s, d: parts(s, d).filter(conditions.compiled(("+", "brand", "size"), {"+": lambda a, b: F.contains(a, b.cast("string"))})).select("id"))
+query("rec_id_in", f"SELECT * FROM ({REC}) WHERE id IN (3, 5, 99999) OR id = 8")(lambda s, d: records.select(parts(s, d), [("id", "in", [3, 5, 8, 99999])]))
+query("rec_id_test", f"SELECT * FROM ({REC}) WHERE id % 7 = 2")(lambda s, d: records.select(parts(s, d), [("id", "test", lambda c: c % 7 == 2)]))

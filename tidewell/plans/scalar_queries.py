@@ -124,3 +124,5 @@ query("tuple_columns", "SELECT o_orderkey, o_custkey AS second, o_custkey || ','
         F.array_join(S.set_column(F.col("t"), [1, 3], [F.lit(0).cast("long"), F.lit(9).cast("long")]).cast("array<string>"), ",").alias("changed"),
     )
 )
+query("hash_password", "SELECT c_custkey, md5(c_name || ' 7 ' || md5(c_name || ' 200 ' || 'none')) AS v FROM customer")(_of("customer", "c_custkey", lambda: S.password(F.col("c_name"), [200, 7]).alias("v")))
+query("hash_double", "SELECT o_orderkey, (o_orderkey % 97 + (o_custkey % 5) * (1 + o_orderkey % 96)) % 97 AS v FROM orders")(_of("orders", "o_orderkey", lambda: S.double_hash(F.col("o_orderkey"), 97, F.col("o_custkey") % 5).alias("v")))
