@@ -79,6 +79,31 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_components_read_edges_about_once(spark, monkeypatch):
+    """All rounds together leave few more edges than there are: labels that spread over whole edges in every round read each of them again."""
+    from tidewell.llm import components
+
+    written, settle = [], components.settle
+
+    def counted(df, name="step"):
+        out = settle(df, name)
+        if name == "edges":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "settle", counted)
+    r = random.Random(3)
+    ids = list(range(600))
+    path = r.sample(ids, len(ids))
+    edges = [*zip(path, path[1:], strict=False), *((r.choice(path), r.choice(path)) for _ in range(2000)), (7, 7), (1000, 1000), (2001, 2000), (2000, 2001)]
+    got = {x.id: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in ids} | {1000: 1000, 2000: 2000, 2001: 2000}
+    assert len(written) > 2 and written[-1] == 0 and sum(written[1:]) < written[0]
+    written.clear()
+    got = {x.id: x.component for x in connected_components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")).collect()}
+    assert got == {i: 0 for i in ids} and len(written) < 25
+
+
 def test_words_built_to_collide_are_not_linked(spark):
     """A Thue-Morse word and its complement have the same polynomial modulo 2**64, whatever the odd base."""
     word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
