@@ -160,3 +160,12 @@ def test_folds_and_fields(spark):
         S.set_column(F.array(F.lit(7), F.lit(8)), 2, F.lit(1)).alias("set"),
     ).first()
     assert tuple(row) == (5, 1, [7, 8], [7, 1])
+
+
+def test_byte_range_parses_a_header_once(spark):
+    from tidewell.functions import scalars as S
+
+    headers = {"bytes=0-4": (0, 4), "bytes=-5": (5, 9), "bytes=3-": (3, 9), "bytes=0-99": (0, 9), "bytes=9-2": None, "bytes=50-60": None, "bytes=-0": None, "bytes=007-0009": (7, 9), "bytes=1-9999999999999999999": (1, 9)}
+    found = spark.createDataFrame([(h, 10) for h in headers], "h string, size long").select("h", S.byte_range(F.col("h"), F.col("size")).alias("r"))
+    assert {r.h: tuple(r.r) if r.r else None for r in found.collect()} == headers
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1

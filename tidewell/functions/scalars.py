@@ -152,12 +152,27 @@ def cookies(header: Column) -> Column:
     return _last_of_each(_parameters(header, r";\s*"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def byte_range(header: Column, size: Column) -> Column:
     """struct(first, last) of a ``bytes=`` range in a body of ``size`` bytes, the last byte included; null if it can't be met."""
-    first, last = (F.try_to_number(F.nullif(F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", k), F.lit("")), F.lit("9" * 18)).cast("long") for k in (1, 2))
-    begin = F.when(first.isNull(), F.greatest(size - last, F.lit(0))).otherwise(first)
-    end = F.when(first.isNull() | last.isNull() | (last >= size), size - 1).otherwise(last)
-    return F.when((begin <= end) & (begin < size), F.struct(begin.alias("first"), end.alias("last")))
+
+    def number(digits: Column) -> Column:
+        return F.when(F.length(digits).between(1, 18), digits.cast("long"))
+
+    def ends(spec: Column) -> Column:
+        return F.struct(number(F.substring_index(spec, "-", 1)).alias("first"), number(F.substring_index(spec, "-", -1)).alias("last"), size.alias("size"))
+
+    def met(x: Column) -> Column:
+        first, last, full = x["first"], x["last"], x["size"]
+        begin = F.when(first.isNull(), F.greatest(full - last, F.lit(0))).otherwise(first)
+        end = F.when(first.isNull() | last.isNull() | (last >= full), full - 1).otherwise(last)
+        return F.when((begin <= end) & (begin < full), F.struct(begin.alias("first"), end.alias("last")))
+
+    return _let(F.regexp_extract(header, r"^bytes=(\d*-\d*)$", 1), lambda spec: _let(ends(spec), met))
 
 
 def http_date(ts: Column) -> Column:

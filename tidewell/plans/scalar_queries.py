@@ -92,7 +92,7 @@ query("url_cookies", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS sid, 'b=
     lambda s, d: table(s, d, "orders").select("o_orderkey", S.cookies(F.concat(F.lit("a=b=c;  sid="), F.col("o_orderkey"))).alias("m")).select("o_orderkey", F.col("m")["sid"].alias("sid"), F.col("m")["a"].alias("a"))
 )
 query("url_byte_range", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) AS first, CAST(least(l_linenumber + 2, l_quantity - 1) AS BIGINT) AS last, CAST(greatest(l_quantity - 5, 0) AS BIGINT) AS tail FROM lineitem WHERE l_linenumber < l_quantity")(
-    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.byte_range(F.format_string("bytes=%d-%d", "l_linenumber", F.col("l_linenumber") + 2), F.col("l_quantity").cast("long")).alias("r"), S.byte_range(F.lit("bytes=-5"), F.col("l_quantity").cast("long")).alias("t"))
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.byte_range(F.concat(F.lit("bytes="), "l_linenumber", F.lit("-"), F.col("l_linenumber") + 2), F.col("l_quantity").cast("long")).alias("r"), S.byte_range(F.lit("bytes=-5"), F.col("l_quantity").cast("long")).alias("t"))
     .filter("r IS NOT NULL").select("l_orderkey", "l_linenumber", "r.first", "r.last", F.col("t.first").alias("tail"))
 )
 query("url_parts", r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")(
