@@ -35,6 +35,24 @@ def test_log_index_in_batches(spark):
     assert log_index.postings(spark, root).filter("doc_id = 9").count() == 0
 
 
+def test_log_index_makes_grams_from_words_without_comparing_them(spark, monkeypatch):
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    compared, write = [], log_index._write
+
+    def noted(rows, path, key):
+        if key == "gram":
+            compared.append("Aggregate" in rows._jdf.queryExecution().optimizedPlan().toString())
+        write(rows, path, key)
+
+    monkeypatch.setattr(log_index, "_write", noted)
+    for rows in ([("disk", 1), ("fault", 1)], [("disk", 2), ("error", 2)]):
+        log_index.append(spark.createDataFrame(rows, "token string, doc_id long"), root)
+    log_index.compact(spark, root)
+    assert compared == [False] * 3
+    assert sorted((r.gram, r.token) for r in log_index.grams(spark, root).collect()) == sorted((f"${t}$"[i : i + 3], t) for t in ("disk", "fault", "error") for i in range(len(t)))
+    assert {r.token: r.frequency for r in log_index.dictionary(spark, root).collect()} == {"disk": 2, "fault": 1, "error": 1}
+
+
 def test_an_index_without_batches_finds_nothing(spark):
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     assert log_index.boolean_search(spark, root, "x").count() == 0 and log_index.wildcard_search(spark, root, "x$").count() == 0

@@ -62,15 +62,24 @@ def _write(rows: DataFrame, path: str, key: str) -> None:
     dealt.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def _gram_rows(words: DataFrame) -> DataFrame:
+    """(gram, token) of a table that holds each token once, so that no grams need be compared."""
+    return words.select(F.explode(search.grams(F.col("token"))).alias("gram"), "token")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return settle(rows.groupBy("token").agg(F.count("*").alias("frequency")), "words")
+
+
 def append(postings: DataFrame, root: str) -> None:
     """Add a batch of (token, doc_id); tokens that the index knows get no new grams."""
     spark = postings.sparkSession
     n = _commits(spark, root)[0] + 1
-    new = settle(postings.filter("token IS NOT NULL").select("token", F.col("doc_id").cast("long")).distinct(), "postings")
-    words = new.groupBy("token").agg(F.count("*").alias("frequency"))
-    unknown = words.join(dictionary(spark, root), "token", "left_anti")
-    _write(new, f"{root}/postings/kind=batch/n={n}", "token")
-    _write(search.gram_index(unknown), f"{root}/grams/kind=batch/n={n}", "gram")
+    path = f"{root}/postings/kind=batch/n={n}"
+    _write(postings.filter("token IS NOT NULL").select("token", F.col("doc_id").cast("long")).distinct(), path, "token")
+    words = _counted(spark.read.schema(f"{_COLUMNS['postings']}, shard int").parquet(path))
+    unknown = words.join(_counting(spark, root, "dictionary").select("token"), "token", "left_anti")
+    _write(_gram_rows(unknown), f"{root}/grams/kind=batch/n={n}", "gram")
     _write(words, f"{root}/dictionary/kind=batch/n={n}", "token")
 
 
@@ -78,9 +87,10 @@ def compact(spark: SparkSession, root: str) -> None:
     """One new batch of all that counts; the old ones stay until their folders are deleted."""
     n = _commits(spark, root)[0] + 1
     whole = settle(postings(spark, root).distinct(), "postings")
+    words = _counted(whole)
     _write(whole, f"{root}/postings/kind=full/n={n}", "token")
-    _write(grams(spark, root).distinct(), f"{root}/grams/kind=full/n={n}", "gram")
-    _write(whole.groupBy("token").agg(F.count("*").alias("frequency")), f"{root}/dictionary/kind=full/n={n}", "token")
+    _write(_gram_rows(words), f"{root}/grams/kind=full/n={n}", "gram")
+    _write(words, f"{root}/dictionary/kind=full/n={n}", "token")
 
 
 def postings(spark: SparkSession, root: str, terms: set[str] | None = None) -> DataFrame:
