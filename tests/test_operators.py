@@ -163,9 +163,16 @@ def test_folds_and_fields(spark):
 
 
 def test_byte_range_parses_a_header_once(spark):
-    from tidewell.functions import scalars as S
-
     headers = {"bytes=0-4": (0, 4), "bytes=-5": (5, 9), "bytes=3-": (3, 9), "bytes=0-99": (0, 9), "bytes=9-2": None, "bytes=50-60": None, "bytes=-0": None, "bytes=007-0009": (7, 9), "bytes=1-9999999999999999999": (1, 9)}
     found = spark.createDataFrame([(h, 10) for h in headers], "h string, size long").select("h", S.byte_range(F.col("h"), F.col("size")).alias("r"))
     assert {r.h: tuple(r.r) if r.r else None for r in found.collect()} == headers
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+
+
+def test_posting_chunks_shuffle_once(spark):
+    docs = spark.createDataFrame([(1, "b a\ta "), (1, "b"), (250, "a"), (3, None), (4, ""), (99, " a")], "doc_id long, text string")
+    chunks = search.posting_chunks(search.words(docs), 100)
+    assert sorted(tuple(r) for r in chunks.collect()) == [("a", 0, [1, 99]), ("a", 2, [250]), ("b", 0, [1])]
+    assert sorted(tuple(r) for r in search.posting_chunks(search.tokens(docs), 100).collect()) == [("a", 0, [1, 99]), ("a", 2, [250]), ("b", 0, [1])]
+    planned = search.posting_chunks(search.words(docs), 100)._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("Exchange hashpartitioning") == 1

@@ -24,6 +24,12 @@ def tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(words).alias("place", "token")).select("token", "doc_id", "place")
 
 
+def words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(token, doc_id) of the different words of a text."""
+    found = F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\r\n]+"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("token")).filter("token <> ''").select("token", "doc_id")
+
+
 def entry_words(data: Column) -> Column:
     """The tokens of a log's map: of a system field its value, the time (milliseconds) in whole minutes; of any other both key and value.
 
@@ -55,9 +61,13 @@ def posting_lists(postings: DataFrame) -> DataFrame:
 
 
 def posting_chunks(postings: DataFrame, width: int = 10_000) -> DataFrame:
-    """(token, chunk, docs): sorted distinct documents by ranges of ``width`` ids, so that no list of a frequent token outgrows a row."""
+    """(token, chunk, docs): sorted distinct documents by ranges of ``width`` ids, so that no list of a frequent token outgrows a row.
+
+    Postings meet once, by token and chunk, and copies go there.
+    """
     chunk = F.floor(F.col("doc_id") / width).alias("chunk")
-    return postings.select("token", "doc_id").distinct().groupBy("token", chunk).agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    met = postings.select("token", "doc_id", chunk).repartition("token", "chunk")
+    return met.groupBy("token", "chunk").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
 
 
 def grams(word: Column, n: int = 3) -> Column:

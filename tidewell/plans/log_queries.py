@@ -67,7 +67,7 @@ for _name, _rule, _sql in (
     query(f"log_filter_{_name}", f"SELECT event_id AS doc_id FROM events WHERE {_sql}")(lambda s, d, rule=_rule: logs(s, d).filter(search.log_condition(rule if isinstance(rule, list) else [rule])).select("doc_id"))
 query("log_windows", "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS window_id, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: logs(s, d).groupBy(F.floor(F.unix_seconds("ts") / 3600).alias("window_id")).agg(F.count("*").alias("n")))
 query("log_posting_chunks", POST + "SELECT token, CAST(doc_id // 100 AS BIGINT) AS chunk, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM post GROUP BY ALL")(
-    lambda s, d: search.posting_chunks(postings(s, d), 100).withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
+    lambda s, d: search.posting_chunks(search.words(table(s, d, "documents")), 100).withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 )
 query(
     "log_entry_system",
