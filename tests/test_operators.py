@@ -128,6 +128,13 @@ def test_scalars(spark):
     assert spark.range(30).filter(S.is_prime(F.col("id"))).count() == 10
 
 
+def test_compression_holds_few_texts(spark):
+    far = F.col("id") >= 3000
+    texts = spark.range(0, 6000, 1, 1).select(F.when(far, F.raise_error(F.lit("too far ahead")).cast("string")).otherwise(F.repeat(F.lit("a text of "), 1000)).cast("binary").alias("b"))
+    for make, back in ((S.deflate, S.inflate), (S.gzipped, S.gunzipped)):
+        assert texts.select(back(make("b")).alias("c")).filter(F.length("c") > 0).first().c == b"a text of " * 1000  # the filter keeps the limit above
+
+
 def test_overlaps_with_rests(spark):
     def shown(a, z, b, y):
         got = spark.range(1).select(setops.overlap_rests(*[F.lit(x) for x in (a, z, b, y)]).alias("o")).first().o

@@ -1,4 +1,4 @@
-"""Scalar functions: text, numbers, hashes, URLs and JSON as columns; Arrow UDFs where Spark has none."""
+"""Scalar functions: text, numbers, hashes, URLs and JSON as columns; Python UDFs where Spark has none."""
 
 from __future__ import annotations
 
@@ -224,24 +224,25 @@ def base58_decode(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(BinaryType())
-def deflate(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else zlib.compress(x, 6))
+# Plain UDFs: whole texts pass a worker in batches of 100 (Spark's default), where an Arrow batch holds 10,000 of them, or 64 MB, several times over.
+@F.udf(BinaryType(), useArrow=False)
+def deflate(data: bytes | None) -> bytes | None:
+    return None if data is None else zlib.compress(data, 6)
 
 
-@F.pandas_udf(BinaryType())
-def inflate(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else zlib.decompress(x))
+@F.udf(BinaryType(), useArrow=False)
+def inflate(data: bytes | None) -> bytes | None:
+    return None if data is None else zlib.decompress(data)
 
 
-@F.pandas_udf(BinaryType())
-def gzipped(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else gzip.compress(x, 6, mtime=0))
+@F.udf(BinaryType(), useArrow=False)
+def gzipped(data: bytes | None) -> bytes | None:
+    return None if data is None else gzip.compress(data, 6, mtime=0)
 
 
-@F.pandas_udf(BinaryType())
-def gunzipped(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else gzip.decompress(x))
+@F.udf(BinaryType(), useArrow=False)
+def gunzipped(data: bytes | None) -> bytes | None:
+    return None if data is None else gzip.decompress(data)
 
 
 def fold_until(values: Column, zero: Column, step: Callable[[Column, Column], Column], stop: Callable[[Column], Column]) -> Column:
