@@ -65,6 +65,23 @@ def test_same_components_as_brute_force(spark, monkeypatch, stars):
     assert got == brute(rows)
 
 
+def test_nothing_joined_passes_the_driver(spark, monkeypatch):
+    """However small a side is, no plan broadcasts it: up to Spark's limit such sides grow with the corpus, and so does what the driver holds."""
+    monkeypatch.setattr(M, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(M, "BLOCK", 16)
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    rows = corpus(7)
+    kept = {r.doc_id for r in M.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList(before, store.executionsCount() - before)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert kept == {d for d, (_, c) in brute(rows).items() if d == c}
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "A b  c d"), (4, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in M.link(docs).collect())

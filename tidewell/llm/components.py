@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges are rewritten to where their ends went. Copies of an edge and edges within one
     place go, so that a star is done after one round, and of a path a fixed share of the ids
     goes in each later one: all rounds together read little more than the first. Only counts
-    reach the driver; what a round leaves is written to the shared folder.
+    reach the driver; what a round leaves is written to the shared folder. All joins merge:
+    a broadcast would take its side through the driver's memory.
     """
     left = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     steps: list[DataFrame] = []
@@ -26,18 +27,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = ends.groupBy("id").agg(F.min_by("near", order("near")).alias("near"))
         went = settle(least.select("id", F.when(order("near") < order("id"), F.col("near")).otherwise(F.col("id")).alias("component")), "labels")
         steps.append(went)
-        moved = left.join(went, F.col("a") == F.col("id")).select(F.col("component").alias("a"), "b")
-        moved = moved.join(went, F.col("b") == F.col("id")).select("a", F.col("component").alias("b")).filter("a <> b")
+        moved = left.join(went.hint("merge"), F.col("a") == F.col("id")).select(F.col("component").alias("a"), "b")
+        moved = moved.join(went.hint("merge"), F.col("b") == F.col("id")).select("a", F.col("component").alias("b")).filter("a <> b")
         left = settle(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if len(steps) == 1:
         return steps[0]
     labels = steps.pop()
     while steps:
         further = labels.toDF("component", "root")
-        labels = settle(steps.pop().join(further, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+        labels = settle(steps.pop().join(further.hint("merge"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
     # settled, so that a large component's rows need not come to the task that found its least id
     least = settle(labels.groupBy("component").agg(F.min("id").alias("least")), "least")
-    return settle(labels.join(least, "component").select("id", F.col("least").alias("component")), "labels")
+    return settle(labels.join(least.hint("merge"), "component").select("id", F.col("least").alias("component")), "labels")
 
 
 def _order(turn: int):

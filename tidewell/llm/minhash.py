@@ -16,6 +16,9 @@ such a bucket). In a cluster the members outside its largest component meet all
 others in bounded blocks, where whole sets are intersected and only links leave
 the block, at most one per member and component.
 
+What is joined grows with the corpus, so every join is told to merge: a side that Spark
+broadcast as small enough would pass through the driver's memory.
+
 Defined results: null texts and texts without words have an empty set and link
 with nothing; a null doc_id is a component of its own with a null id; rows that
 repeat a doc_id count as one document for links; an empty table gives an empty
@@ -121,7 +124,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold."""
     of_a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     of_b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(of_a, "a").join(of_b, "b")
+    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
     return both.select("a", "b", F.size("set_a").alias("x"), F.size("set_b").alias("y"), F.size(F.array_intersect("set_a", "set_b")).alias("common")).filter(f"100 * common >= {PERCENT} * (x + y - common)").select("a", "b")
 
 
@@ -130,17 +133,17 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         labelled = members.withColumn("label", F.col("doc_id"))
     else:
-        labelled = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        labelled = members.join(labels.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     # settled, so that a hot bucket's rows need not come to the task that counted them
     apart = settle(labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("bucket"), "apart")
-    return labelled.join(apart, "bucket", "left_semi")
+    return labelled.join(apart.hint("merge"), "bucket", "left_semi")
 
 
 def _star_pairs(mixed: DataFrame, seed: int) -> DataFrame:
     """Each member with its bucket's pivot, where they lie in different components."""
     order = F.col("doc_id") if not seed else F.xxhash64("doc_id", F.lit(seed))
     pivots = settle(mixed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "label"), order).alias("p")), "pivots")
-    met = mixed.join(pivots, "bucket").filter("label != p.label")
+    met = mixed.join(pivots.hint("merge"), "bucket").filter("label != p.label")
     return met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
 
 
@@ -185,12 +188,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cluster_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) between components within each cluster of buckets."""
     pivots = settle(mixed.groupBy("bucket").agg(F.min("doc_id").alias("b")), "pivots")
-    edges = mixed.join(pivots, "bucket").filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
+    edges = mixed.join(pivots.hint("merge"), "bucket").filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     of = connected_components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-    rows = settle(mixed.select("doc_id", "label").distinct().join(of, "doc_id"), "clusters")
+    rows = settle(mixed.select("doc_id", "label").distinct().join(of.hint("merge"), "doc_id"), "clusters")
     sizes = rows.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster")
     sizes = sizes.agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("largest"))
-    tagged = rows.join(sizes.filter("all > 2"), "cluster")  # the one pair of a smaller cluster has met
+    tagged = rows.join(sizes.filter("all > 2").hint("merge"), "cluster")  # the one pair of a smaller cluster has met
     many, fewer = F.ceil(F.col("all") / BLOCK), F.ceil((F.col("all") - F.col("largest")) / BLOCK)
     own = F.xxhash64("doc_id")
 
@@ -202,17 +205,17 @@ def _cluster_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         return apart.select(F.concat_ws(":", "cluster", first, second).alias("block"), F.lit(side).alias("side"), "doc_id", "label")
 
     blocks = dealt(tagged.filter("label != most"), 0, fewer, many).unionByName(dealt(tagged, 1, fewer, many))
-    met = blocks.join(sets, "doc_id").select("block", "side", "doc_id", "label", "shingles")
+    met = blocks.join(sets.hint("merge"), "doc_id").select("block", "side", "doc_id", "label", "shingles")
     return map_arrow(met.repartition("block").sortWithinPartitions("block", "side", "doc_id"), _meet, "a long, b long")
 
 
 def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     """``labels`` (id, component) after the links ``found``; only the components that these join are looked at."""
     of_a, of_b = labels.toDF("a", "of_a"), labels.toDF("b", "of_b")
-    between = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    between = found.join(of_a.hint("merge"), "a", "left").join(of_b.hint("merge"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     merged = connected_components(between.filter("a <> b"))
-    moved = labels.join(merged.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-    return settle(moved.unionByName(merged.join(labels, "id", "left_anti")), "labels")
+    moved = labels.join(merged.toDF("component", "root").hint("merge"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return settle(moved.unionByName(merged.join(labels.hint("merge"), "id", "left_anti")), "labels")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -223,10 +226,10 @@ def link(docs: DataFrame) -> DataFrame:
     classes = settle(classes.select("key", "c.*"), "classes")
     buckets = classes.select("doc_id", F.explode("bands").alias("bucket"))
     shared = settle(buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"), "shared")
-    members = settle(buckets.join(shared, "bucket", "left_semi").distinct(), "buckets")
+    members = settle(buckets.join(shared.hint("merge"), "bucket", "left_semi").distinct(), "buckets")
     known = classes.select("doc_id", "n", "planes")
     ids = members.select("doc_id").distinct()
-    sets = settle(map_arrow(narrow.join(ids, "doc_id", "left_semi"), _sets, "doc_id long, shingles array<long>"), "sets")
+    sets = settle(map_arrow(narrow.join(ids.hint("merge"), "doc_id", "left_semi"), _sets, "doc_id long, shingles array<long>"), "sets")
     side_a = known.select(F.col("doc_id").alias("a"), F.struct("n", "planes").alias("p"))
     side_b = known.select(F.col("doc_id").alias("b"), F.struct("n", "planes").alias("q"))
     mixed, labels = settle(_mixed(members, None), "mixed"), None
@@ -234,7 +237,7 @@ def link(docs: DataFrame) -> DataFrame:
         if mixed.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            pairs = _star_pairs(mixed, turn).join(side_a, "a").join(side_b, "b").filter(_alike("p", "q")).select("a", "b")
+            pairs = _star_pairs(mixed, turn).join(side_a.hint("merge"), "a").join(side_b.hint("merge"), "b").filter(_alike("p", "q")).select("a", "b")
             found = settle(_confirmed(pairs, sets), "links")
         else:
             found = settle(_cluster_links(mixed, sets), "links")
@@ -245,8 +248,8 @@ def link(docs: DataFrame) -> DataFrame:
             mixed = settle(_mixed(mixed.select("bucket", "doc_id"), labels), "mixed")
     of_class = classes.select("key", F.col("doc_id").alias("class_id"))
     if labels is not None:
-        of_class = of_class.join(labels, F.col("class_id") == F.col("id"), "left").select("key", F.coalesce("component", "class_id").alias("class_id"))
-    rows = signed.select("doc_id", "n", "key").join(of_class, "key", "left")
+        of_class = of_class.join(labels.hint("merge"), F.col("class_id") == F.col("id"), "left").select("key", F.coalesce("component", "class_id").alias("class_id"))
+    rows = signed.select("doc_id", "n", "key").join(of_class.hint("merge"), "key", "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -254,7 +257,7 @@ def link(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which one per component stays, with all their columns."""
     kept = link(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 QUERY_SQL = r"""
