@@ -41,3 +41,18 @@ def test_thresholds_are_ordered_and_edges_are_defined(spark):
     untold = T.train(docs, labels.filter("toxic = 0"))
     assert T.score(docs, untold).filter("toxic OR severity > 0").isEmpty()
     assert T.score(docs.limit(0), model).count() == 0
+
+
+def test_the_driver_holds_each_word_once(spark, monkeypatch):
+    """A word of many samples is one string in the driver, not one per sample."""
+    held = []
+    monkeypatch.setattr(T, "fit", lambda samples: held.extend(samples))
+    rows = [(i, f"common words shared by every text own{'abcdefgh'[i % 8]}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    T.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    strings: dict[str, set[int]] = {}
+    for counts, _ in held:
+        for word in counts:
+            strings.setdefault(word, set()).add(id(word))
+    assert len(held) == 40 and len(strings) == 14
+    assert all(len(same) == 1 for same in strings.values())

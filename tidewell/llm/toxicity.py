@@ -119,8 +119,9 @@ def fit(samples: list[tuple[Counter, int]], choose: float = 3.0, refit: float =
 def _descend(samples: list[tuple[Counter, int]], y: np.ndarray, words: list[str], least: float, rounds: int = 500) -> OrdinalModel:
     """Accelerated proximal gradient on the mean log loss of both thresholds with the L1 penalty of ``least`` documents."""
     names = {w: i for i, w in enumerate(words)}
-    cells = [(i, names[w], 1 + np.log(n)) for i, (counts, _) in enumerate(samples) for w, n in feature_counts(counts, names).items()]
-    row, col, value = (np.array(c) for c in zip(*cells, strict=True)) if cells else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    found = ((i, names[w], 1 + np.log(n)) for i, (counts, _) in enumerate(samples) for w, n in feature_counts(counts, names).items())
+    cells = np.fromiter(found, [("row", int), ("col", int), ("value", float)])
+    row, col, value = cells["row"], cells["col"], cells["value"]
     above = np.stack([y > 0, y > 1]).astype(float)
     n, size = len(y), len(names)
     scale = np.sqrt(np.bincount(col, value**2, size) / n) if len(row) else np.ones(size)  # columns of one size converge together
@@ -158,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     toxic = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     chosen = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = map_arrow(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text"), _counted, "y int, words array<string>, times array<int>")
-    samples = [(Counter(dict(zip(r.words, r.times, strict=True))), r.y) for r in rows.toLocalIterator()]
+    once: dict[str, str] = {}  # the driver holds each word once, not once per sample
+    samples = [(Counter(dict(zip((once.setdefault(w, w) for w in r.words), r.times, strict=True))), r.y) for r in rows.toLocalIterator()]
     return fit(sorted(samples, key=lambda s: (s[1], sorted(s[0].items())[:8])))
 
 
