@@ -193,7 +193,9 @@ def _cluster_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     rows = settle(mixed.select("doc_id", "label").distinct().join(of.hint("merge"), "doc_id"), "clusters")
     sizes = rows.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster")
     sizes = sizes.agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("largest"))
-    tagged = rows.join(sizes.filter("all > 2").hint("merge"), "cluster")  # the one pair of a smaller cluster has met
+    # settled, so that a large cluster's rows need not come to the task that counted them
+    sizes = settle(sizes.filter("all > 2"), "sizes")
+    tagged = rows.join(sizes.hint("merge"), "cluster")  # the one pair of a smaller cluster has met
     many, fewer = F.ceil(F.col("all") / BLOCK), F.ceil((F.col("all") - F.col("largest")) / BLOCK)
     own = F.xxhash64("doc_id")
 
